@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: query name -> module of this package that holds it
 HOMES = {
     "op1_quality_rules": "quality_rules",
+    "op2_packing": "packing",
     "op5_byte_bpe": "byte_bpe",
 }
 
