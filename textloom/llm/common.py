@@ -7,7 +7,9 @@ Arrow batch at once: no per-document Python loop touches the text.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,18 @@ _BYTE_KEY = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver found it."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, have)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's folder, read by Spark only (any Hadoop path works)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
