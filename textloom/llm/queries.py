@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 HOMES = {
     "op1_quality_rules": "quality_rules",
     "op2_packing": "packing",
+    "op3_imatch": "imatch",
     "op5_byte_bpe": "byte_bpe",
     "op6_lm_score": "lm_score",
     "op9_near_dup": "near_dup",
