@@ -14,6 +14,7 @@ HOMES = {
     "op3_imatch": "imatch",
     "op5_byte_bpe": "byte_bpe",
     "op6_lm_score": "lm_score",
+    "op7_secrets": "secrets",
     "op8_importance": "importance",
     "op9_near_dup": "near_dup",
 }
