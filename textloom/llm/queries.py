@@ -12,6 +12,7 @@ HOMES = {
     "op1_quality_rules": "quality_rules",
     "op2_packing": "packing",
     "op3_imatch": "imatch",
+    "op4_warc": "warc",
     "op5_byte_bpe": "byte_bpe",
     "op6_lm_score": "lm_score",
     "op7_secrets": "secrets",
