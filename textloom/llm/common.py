@@ -141,9 +141,9 @@ class Words:
     ids: batch-wide dense word ids (exact, by value); vocab: the distinct words.
     """
 
-    def __init__(self, data: np.ndarray, text_offsets: np.ndarray, encode: bool = True) -> None:
+    def __init__(self, data: np.ndarray, text_offsets: np.ndarray, encode: bool = True, inside: np.ndarray = IS_WORD) -> None:
         self.data, self.text_offsets = data, text_offsets
-        inside = IS_WORD[data]
+        inside = inside[data]
         self.inside = inside
         start, end = inside.copy(), inside.copy()
         if len(inside):

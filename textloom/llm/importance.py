@@ -27,8 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm import common as C
 
@@ -39,6 +40,7 @@ PRIOR = 10.0
 GOOD_COST = 10.0
 #: Intervals of a round of the search for the k-th score, and its rounds.
 STEPS, ROUNDS = 512, 7
+WEIGHT = "__log_weight"
 
 
 def _buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +98,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(doc, table[at], b.num_rows))], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    u = (F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("perturbed", F.col("log_weight") - F.log(-F.log(u)))
+    return rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("perturbed", F.col("log_weight") + _noise("doc_id", seed))
 
 
 def kth_largest(scores: DataFrame, col: str, k: int) -> float:
@@ -140,24 +141,44 @@ def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
     return float((w[i - 1] + w[min(i, len(w) - 1)]) / 2)
 
 
-def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float | None = None, max_labels: int = MAX_LABELS, seed: int = SEED) -> DataFrame:
-    """doc_id, log_weight, perturbed, kept for every document."""
-    ratio, n = log_ratios(docs, labels, id_col, text_col, max_labels)
-    scored = C.checkpoint(weights(docs, ratio, id_col, text_col, seed))
+def threshold(scored: DataFrame, labels: DataFrame, n: int, rate: float | None, max_labels: int) -> tuple[DataFrame, float]:
+    """The scores, checkpointed, and the perturbed score of the last document kept."""
+    scored = C.checkpoint(scored)
     if rate is None:
         known = scored.join(_sample(labels, max_labels), "doc_id").select("log_weight", "good").toArrow()
         k = scored.where(F.col("log_weight") >= F.lit(best_cut(known["log_weight"].to_numpy(), known["good"].to_numpy()))).count()
     else:
         k = round(n * rate)
-    least = kth_largest(scored, "perturbed", k)
+    return scored, kth_largest(scored, "perturbed", k)
+
+
+def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float | None = None, max_labels: int = MAX_LABELS, seed: int = SEED) -> DataFrame:
+    """doc_id, log_weight, perturbed, kept for every document."""
+    ratio, n = log_ratios(docs, labels, id_col, text_col, max_labels)
+    scored, least = threshold(weights(docs, ratio, id_col, text_col, seed), labels, n, rate, max_labels)
     return scored.withColumn("kept", F.col("perturbed") >= F.lit(least))
 
 
-def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all their columns; only ids are gathered by the join."""
-    out = classified(docs, labels, id_col, text_col, **options)
-    gone = out.where("not kept and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def _noise(id_col: str, seed: int) -> Column:
+    u = (F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    return -F.log(-F.log(u))
+
+
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float | None = None, max_labels: int = MAX_LABELS, seed: int = SEED) -> DataFrame:
+    """The documents that stay, with all their columns; texts are not shuffled."""
+    ratio, n = log_ratios(docs, labels, id_col, text_col, max_labels)
+    least = threshold(weights(docs, ratio, id_col, text_col, seed), labels, n, rate, max_labels)[1]
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in C.slices(batches, text_col):
+            at, doc = _buckets(*C.text_bytes(b.column(at_text)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bincount(doc, table[at], b.num_rows))], names=[*b.schema.names, WEIGHT])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(WEIGHT, T.DoubleType())])
+    return docs.mapInArrow(run, schema).where(F.col(WEIGHT) + _noise(id_col, seed) >= F.lit(least)).drop(WEIGHT)
 
 
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ HOMES = {
     "op7_secrets": "secrets",
     "op8_importance": "importance",
     "op9_near_dup": "near_dup",
+    "op10_licenses": "licenses",
 }
 
 
