@@ -95,7 +95,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
         table = shared.value
         for b in C.slices(batches, "text"):
             at, doc = _buckets(*C.text_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(doc, table[at], b.num_rows))], names=["doc_id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(doc, table[at], b.num_rows), pa.float64())], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("perturbed", F.col("log_weight") + _noise("doc_id", seed))
@@ -175,7 +175,7 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
         table = shared.value
         for b in C.slices(batches, text_col):
             at, doc = _buckets(*C.text_bytes(b.column(at_text)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bincount(doc, table[at], b.num_rows))], names=[*b.schema.names, WEIGHT])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bincount(doc, table[at], b.num_rows), pa.float64())], names=[*b.schema.names, WEIGHT])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(WEIGHT, T.DoubleType())])
     return docs.mapInArrow(run, schema).where(F.col(WEIGHT) + _noise(id_col, seed) >= F.lit(least)).drop(WEIGHT)

@@ -286,7 +286,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             rare = ids == len(own.words)
             tail_off = np.append(0, np.cumsum(rare))[off]
             base = np.bincount(np.repeat(np.arange(len(off) - 1), np.diff(off)), own.log_uni[ids], len(off) - 1)
-            cols = [b.column(0), b.column(2), pa.array(np.diff(off)), pa.array(C.seg_sum(~rare, off)), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(tail_off, pa.int32()), pa.array(h[rare]))]
+            cols = [b.column(0), b.column(2), pa.array(np.diff(off)), pa.array(C.seg_sum(~rare, off)), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_off, pa.int32()), pa.array(h[rare]))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
