@@ -17,6 +17,7 @@ packed once each; a null id stays null; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
@@ -33,12 +34,20 @@ SEQUENCE = 4096
 END = 2
 DIMS, BITS, BUCKETS = 4, 12, 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Most words kept between slices, in each of two generations.
-CACHE = 300_000
+#: Most words kept between slices.
+CACHE = 600_000
+#: Text bytes of a slice: the larger, the fewer distinct words in all.
+SLICE_BYTES = 8 << 20
+#: ASCII marks that the tokenizer never joins to a letter or digit before them.
+MARKS = b".,!?$%&*#|;:()"
 
 
 class WordCoder:
-    """Ids by a tokenizer that drops white space, so each word is encoded alone and once."""
+    """Ids by a tokenizer that drops white space and case, so each word is encoded alone.
+
+    Words met before are found by their hash; of new ones the lower-cased part
+    before trailing marks is encoded, once for all the words that share it.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,33 +55,65 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[bytes, list[int]] = {}
-        self.older: dict[bytes, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
+        self.keys = np.zeros(0, np.uint64)
+        self.starts = self.lens = self.flat = np.zeros(0, np.int64)
 
-    def lookup(self, words: list[bytes]) -> list[list[int]]:
-        if len(self.cache) + len(words) > CACHE:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of each word, by its parts."""
+        split = []
         for w in words:
-            if w not in cache and w in older:
-                cache[w] = older[w]
-        new = [w for w in words if w not in cache]
+            low = w.lower()
+            core = low.rstrip(MARKS)
+            if len(core) < len(low) and core and (core[-1:].isalnum() or core[-1] >= 0x80 and core.decode("utf-8")[-1].isalpha()):
+                split.append((core, low[len(core) :]))
+            else:
+                split.append((low, b""))
+        if len(self.parts) + len(words) > CACHE * 2 // 3:
+            self.parts = {}
+        parts = self.parts
+        new = list(dict.fromkeys(x for pair in split for x in pair if x not in parts))
         for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in part], add_special_tokens=False), strict=True):
-                cache[w] = e.ids
-        return [cache[w] for w in words]
+            some = new[k : k + 20_000]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast([x.decode("utf-8") for x in some], add_special_tokens=False), strict=True):
+                parts[x] = e.ids
+        return [parts[a] + parts[b] if b else parts[a] for a, b in split]
+
+    def lookup(self, vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length, in ``flat``, of the ids of each distinct word."""
+        h = C.hash_binary(vocab)
+        at = np.minimum(np.searchsorted(self.keys, h), max(len(self.keys) - 1, 0))
+        hit = self.keys[at] == h if len(self.keys) else np.zeros(len(h), bool)
+        if hit.all():
+            return self.starts[at], self.lens[at]
+        if len(self.keys) + (~hit).sum() > CACHE:  # keep what this slice uses
+            keep = np.unique(at[hit])
+            self.flat = self.flat[C.ragged(self.starts[keep], self.lens[keep])]
+            self.keys, self.lens = self.keys[keep], self.lens[keep]
+            self.starts = np.cumsum(self.lens) - self.lens
+        ids = self.encode_words(vocab.filter(pa.array(~hit)).to_pylist())
+        lens = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(lens.sum()))
+        keys = np.concatenate((self.keys, h[~hit]))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))[order]
+        self.lens = np.concatenate((self.lens, lens))[order]
+        self.flat = np.concatenate((self.flat, flat))
+        at = np.searchsorted(self.keys, h)
+        return self.starts[at], self.lens[at]
 
     def encode(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the texts' offsets."""
         w = C.Words(data, off)
-        got = self.lookup(w.vocab.to_pylist())
-        lens = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for g in got for x in g), np.int64, int(lens.sum()))
-        n_ids = lens[w.ids]
-        ends = np.append(0, np.cumsum(n_ids))[w.offsets]
-        ids = flat[C.ragged((np.cumsum(lens) - lens)[w.ids], n_ids)]
-        return np.insert(ids, ends[1:], end), ends + np.arange(len(ends))
+        starts, lens = self.lookup(w.vocab)
+        # the end token is one more word of each text
+        n_ids = np.insert(lens[w.ids], w.offsets[1:], 1)
+        starts = np.insert(starts[w.ids], w.offsets[1:], 0)
+        ends = np.append(0, np.cumsum(n_ids))[w.offsets + np.arange(len(off))]
+        ids = self.flat[C.ragged(starts, n_ids)] if len(self.flat) else np.zeros(int(n_ids.sum()), np.int64)
+        ids[ends[1:] - 1] = end
+        return ids, ends
 
 
 _CODERS: dict[str, WordCoder] = {}
@@ -141,7 +182,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end: int)
         own = coder(path)
         signs = projection(own.size)
         width = "<u2" if max(own.size, end + 1) <= 1 << 16 else "<u4"
-        for b in C.slices(batches, "text"):
+        for b in C.slices(batches, "text", SLICE_BYTES):
             ids, off = own.encode(*C.text_bytes(b.column(1)), end)
             size = np.dtype(width).itemsize
             data = C.binary_array(ids.astype(width).view(np.uint8), np.diff(off) * size)
