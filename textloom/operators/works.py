@@ -46,7 +46,7 @@ def labelled(atoms: DataFrame, work: str, title: str, number: str, work_title: s
     df = df.withColumn("__k", F.row_number().over(group.orderBy(*order))).withColumn("__n", F.count("*").over(group))
     shown = F.coalesce(F.col(number).cast("long"), F.col("position"))
     flat, trimmed = flat_title(F.col(title)), F.trim(title)
-    label = F.when(F.col("position") == 1, F.col(work_title)).when(flat, F.concat(F.lit("Parte "), shown.cast("string"))).when(F.col("n") > 1, F.concat(trimmed, F.lit(" ("), F.col("__k").cast("string"), F.lit("/"), F.col("__n").cast("string"), F.lit(")"))).otherwise(trimmed)
+    label = F.when(F.col("position") == 1, F.col(work_title)).when(flat, F.concat(F.lit("Parte "), shown.cast("string"))).when(F.col("__n") > 1, F.concat(trimmed, F.lit(" ("), F.col("__k").cast("string"), F.lit("/"), F.col("__n").cast("string"), F.lit(")"))).otherwise(trimmed)
     return df.withColumn("atom_id", padded(shown)).withColumn("is_intro", F.col("position") == 1).withColumn("chapter", F.when(flat, F.lit("")).otherwise(trimmed)).withColumn("label", label).drop("__k", "__n")
 
 
