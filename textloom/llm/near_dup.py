@@ -10,14 +10,14 @@ cannot reach the threshold, and links are confirmed on the full sets.
 
 Groups of copies never give all pairs:
 * equal sets are one class, compared once through its representative;
-* in a bucket each member meets only the bucket's pivots; members that end in one
-  component need no further test;
-* only pairs of one bucket that are still in different components are tested one
-  by one.  For these the join's own condition applies the size bound, the distance
-  of one-bit sketches, and the triangle inequality of the Jaccard distance through
-  the shared pivot.  So no link is lost but by the bands themselves: at the
-  threshold a pair shares none of ``BANDS`` bands with probability
-  (1 - 0.85**6)**36 < 1e-7.
+* in a bucket each member meets only the bucket's two pivots, its least and its
+  greatest member; members that end in one component need no further test;
+* members of buckets that still hold several components are joined by prefixes of
+  their sets: shingles are put in one order, rare ones first, and a link must share
+  a shingle among the first n - ceil(0.85 n) + 1 of both.  Copies that drifted apart
+  have prefixes of their own and never meet.  This join is exact.
+So no link is lost but by the bands: at the threshold a pair shares none of
+``BANDS`` bands with probability (1 - 0.85**6)**36 < 1e-7.
 
 Defined cases: null or blank text is an empty set, linked with nothing; rows of
 one doc_id count as one document; a null doc_id has a null component and is kept;
@@ -42,8 +42,10 @@ PERCENT = 85
 ROWS, BANDS = 6, 36
 REGISTERS = ROWS * BANDS
 BASE, RATE = 1.001, 20.0
-#: Pivot families: bands of one family take the same order of pivots.
-FAMILIES = 4
+#: Most buckets with several members that are broadcast; more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
+#: Counters of the table that orders shingles by rarity; any order is right.
+RARITY_BITS = 20
 #: Natural-log likelihood ratio beyond which a similarity is ruled out (chance of error about exp(-20)).
 RULED_OUT = 20.0
 
@@ -110,18 +112,6 @@ def band_hashes(reg: np.ndarray) -> np.ndarray:
         return C.mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def bit_sketch(reg: np.ndarray) -> np.ndarray:
-    """One bit of each register, in 64-bit words (columns)."""
-    bits = (C.mix(reg.astype(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15)).reshape(reg.shape) >> np.uint64(40)).astype(np.uint8) & 1
-    n = -(-REGISTERS // 64) * 64
-    return np.packbits(np.pad(bits, ((0, 0), (0, n - REGISTERS))), axis=1).view(np.int64)
-
-
-BIT_WORDS = -(-REGISTERS // 64)
-#: Bits that may differ: mean at the threshold and 6.5 standard deviations.
-BIT_LIMIT = int(REGISTERS * (1 - PERCENT / 100) / 2 + 6.5 * (REGISTERS * 0.075 * 0.925) ** 0.5) + 1
-
-
 def _log_p(x: np.ndarray) -> np.ndarray:
     """p_b(x) = -log_b(1 - x (b - 1) / b) of the SetSketch paper (Ertl, 2021)."""
     return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
@@ -175,14 +165,12 @@ def _bands(classes: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 h = band_hashes(_regs(b.column(1)))
-                rep = np.repeat(b.column(0).to_numpy(), BANDS)
-                family = np.tile(np.arange(BANDS) % FAMILIES, b.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(family.astype(np.int32)), pa.array(rep)], names=["bucket", "family", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "rep"])
 
-    return classes.select("rep", "reg").mapInArrow(run, "bucket long, family int, rep long")
+    return classes.select("rep", "reg").mapInArrow(run, "bucket long, rep long")
 
 
-def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame, floor: float) -> DataFrame:
+def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, inter, uni) of the pairs that the joint likelihood doesn't rule out, from their full sets."""
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
@@ -191,7 +179,7 @@ def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame, floor: float)
         for b in batches:
             if b.num_rows:
                 n1, n2 = b.column(2).to_numpy().astype(float), b.column(4).to_numpy().astype(float)
-                _, out = estimate(n1, n2, _regs(b.column(3)), _regs(b.column(5)), floor)
+                _, out = estimate(n1, n2, _regs(b.column(3)), _regs(b.column(5)), PERCENT / 100)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(~out))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +194,7 @@ def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame, floor: float)
             uni = np.diff(oa) + np.diff(ob) - both
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both), pa.array(uni)], names=["a", "b", "inter", "uni"])
 
-    pairs = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") >= floor * F.greatest("na", "nb")).select("a", "b", "na", "ra", "nb", "rb")
+    pairs = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b", "na", "ra", "nb", "rb")
     close = C.checkpoint(pairs.mapInArrow(likely, "a long, b long"))
     need = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
     need = texts.join(need, "rep", "left_semi")
@@ -223,16 +211,16 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     own = C.checkpoint(sketches(docs, id_col, text_col))
     some = own.where("n > 0 and doc_id is not null")
     classes = C.checkpoint(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg")))
-    bands = C.checkpoint(_shared(_bands(classes)))
+    bands = C.checkpoint(_members(_bands(classes)))
     # texts of the representatives; rows of one id count as one document, so the first by hash is as good as any
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
 
-    tested = _test(_pivot_pairs(bands), classes, texts, 1 - 2 * (1 - PERCENT / 100))
+    tested = _test(_pivot_pairs(bands), classes, texts)
     links = _links(tested)
     label = components(links)
-    left = _undecided(bands, label, tested, classes)
+    left = _undecided(bands, label, tested, texts)
     if not left.isEmpty():
-        links = links.union(_links(_test(left, classes, texts, PERCENT / 100)))
+        links = links.union(_links(_test(left, classes, texts)))
         label = components(links)
     named = classes.select("h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = own.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -240,42 +228,59 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _shared(bands: DataFrame) -> DataFrame:
-    """Band rows of buckets with two members or more, with the bucket's pivot and size."""
-    order = F.xxhash64("rep", "family")
-    pivots = bands.groupBy("bucket").agg(F.min_by("rep", order).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    return bands.join(pivots, "bucket").select("bucket", "rep", "pivot", "size")
+def _members(bands: DataFrame) -> DataFrame:
+    """(bucket, rep, low, high): rows of buckets with several members, and the bucket's pivots."""
+    shared = C.checkpoint(bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"))
+    return bands.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "bucket")
 
 
 def _pivot_pairs(bands: DataFrame) -> DataFrame:
-    return bands.where("rep <> pivot").select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+    one = bands.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    two = bands.where("rep <> high").select(F.col("rep").alias("a"), F.col("high").alias("b"))
+    return one.union(two).distinct()
 
 
-def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components that could still be links (checkpointed)."""
-    big = bands.where("size > 2").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = big.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rows = big.join(mixed, "bucket").where("rep <> pivot")
-    # distance to the pivot: exact where tested, else ruled out to be within twice the limit
-    known = tested.select("a", "b", (1 - F.col("inter") / F.col("uni")).alias("far"))
-    rows = rows.withColumn("a", F.least("rep", "pivot")).withColumn("b", F.greatest("rep", "pivot")).join(known, ["a", "b"], "left").select("bucket", "rep", "component", "far")
+def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs in different components, of members of undecided buckets, whose prefixes meet (checkpointed)."""
+    rows = bands.select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = C.checkpoint(rows)
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("bucket")
+    left = C.checkpoint(rows.join(mixed, "bucket").select("rep", "component").distinct())
+    own = texts.join(left, "rep").select("rep", "component", "text")
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                s = bit_sketch(_regs(b.column(2)))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(s[:, i])) for i in range(BIT_WORDS))], names=["rep", "n", *(f"s{i}" for i in range(BIT_WORDS))])
-
-    need = classes.join(rows.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "reg")
-    rows = rows.join(need.mapInArrow(bits, "rep long, n long, " + ", ".join(f"s{i} long" for i in range(BIT_WORDS))), "rep")
-    one, two = C.checkpoint(rows), None
-    two = one.select("bucket", *(F.col(c).alias(f"{c}_2") for c in one.columns if c != "bucket"))
-    limit = 1 - PERCENT / 100
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"s{i}_2"))) for i in range(BIT_WORDS)), F.lit(0))
-    far = F.abs(F.coalesce("far", F.lit(2 * limit)) - F.coalesce("far_2", F.lit(2 * limit)))
-    near = F.when(F.col("far").isNull() & F.col("far_2").isNull(), True).when(F.col("far").isNull(), F.col("far_2") >= limit - 1e-9).when(F.col("far_2").isNull(), F.col("far") >= limit - 1e-9).otherwise(far <= limit + 1e-9)
-    on = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2")) & near & (apart <= BIT_LIMIT)
-    pairs = one.join(two, (one["bucket"] == two["bucket"]) & on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in C.slices(batches, "text"):
+            s, _ = shingles(*C.text_bytes(b.column(2)))
+            total += np.bincount((s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
+
+    own = C.checkpoint(own)
+    got = own.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2**RARITY_BITS rows
+    table = np.zeros(1 << RARITY_BITS, np.int64)
+    table[got["at"].to_numpy()] = got["n"].to_numpy()
+    shared = own.sparkSession.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for b in C.slices(batches, "text"):
+            s, off = shingles(*C.text_bytes(b.column(2)))
+            n = np.diff(off)
+            doc = np.repeat(np.arange(len(n)), n)
+            o = np.lexsort((s, common[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], doc))
+            length = n - -(-PERCENT * n // 100) + (n > 0)
+            at = C.ragged(off[:-1], length)
+            doc = doc[o][at]
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc])], names=["shingle", "rep", "component", "n"])
+
+    pre = own.mapInArrow(prefixes, "shingle long, rep long, component long, n long")
+    # shingles of one document or component only can't decide anything
+    meet = pre.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    one = C.checkpoint(pre.join(meet, "shingle"))
+    two = one.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n")))
+    on = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2"))
+    pairs = one.join(two, (one["shingle"] == two["shingle"]) & on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
     return C.checkpoint(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
 
