@@ -10,12 +10,15 @@ cannot reach the threshold, and links are confirmed on the full sets.
 
 Groups of copies never give all pairs:
 * equal sets are one class, compared once through its representative;
-* in a bucket each member meets only the bucket's two pivots, its least and its
-  greatest member; members that end in one component need no further test;
+* in a bucket each member meets only the bucket's two pivots, its least member and
+  its most central one, which shares most buckets with others (the text that a
+  group's copies were made from, if it is there); members that end in one
+  component need no further test;
 * members of buckets that still hold several components are joined by prefixes of
   their sets: shingles are put in one order, rare ones first, and a link must share
-  a shingle among the first n - ceil(0.85 n) + 1 of both.  Copies that drifted apart
-  have prefixes of their own and never meet.  This join is exact.
+  a shingle among the first n - ceil(0.85 n) + 1 of both, and after the first one
+  shared enough must be left in both.  Copies that drifted apart have prefixes of
+  their own and never meet.  This join is exact.
 So no link is lost but by the bands: at the threshold a pair shares none of
 ``BANDS`` bands with probability (1 - 0.85**6)**36 < 1e-7.
 
@@ -229,22 +232,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def _members(bands: DataFrame) -> DataFrame:
-    """(bucket, rep, low, high): rows of buckets with several members, and the bucket's pivots."""
-    shared = C.checkpoint(bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"))
-    return bands.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "bucket")
+    """(bucket, rep, low, center): rows of buckets with several members, and the bucket's pivots."""
+    shared = C.checkpoint(bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low <> high").drop("high"))
+    rows = C.checkpoint(bands.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "bucket"))
+    # how many members a representative meets in all its buckets
+    degree = rows.groupBy("rep").agg(F.sum("size").alias("degree"))
+    center = rows.where("size > 2").join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"))).alias("c"))
+    center = center.select("bucket", (-F.col("c.first")).alias("center"))
+    return rows.join(center, "bucket", "left").select("bucket", "rep", "low", F.coalesce("center", "low").alias("center"), "size")
 
 
 def _pivot_pairs(bands: DataFrame) -> DataFrame:
-    one = bands.where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    two = bands.where("rep <> high").select(F.col("rep").alias("a"), F.col("high").alias("b"))
-    return one.union(two).distinct()
+    meet = F.explode(F.array_distinct(F.array("low", "center"))).alias("pivot")
+    pairs = bands.select("rep", meet).where("rep <> pivot")
+    return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
 def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs in different components, of members of undecided buckets, whose prefixes meet (checkpointed)."""
-    rows = bands.select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rows = bands.where("size > 2").select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = C.checkpoint(rows)
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2").select("bucket")
+    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
     left = C.checkpoint(rows.join(mixed, "bucket").select("rep", "component").distinct())
     own = texts.join(left, "rep").select("rep", "component", "text")
 
@@ -272,14 +280,16 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: Dat
             length = n - -(-PERCENT * n // 100) + (n > 0)
             at = C.ragged(off[:-1], length)
             doc = doc[o][at]
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc])], names=["shingle", "rep", "component", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc]), pa.array(C.ragged(np.zeros(len(n), np.int64), length))], names=["shingle", "rep", "component", "n", "at"])
 
-    pre = own.mapInArrow(prefixes, "shingle long, rep long, component long, n long")
+    pre = own.mapInArrow(prefixes, "shingle long, rep long, component long, n long, at long")
     # shingles of one document or component only can't decide anything
     meet = pre.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     one = C.checkpoint(pre.join(meet, "shingle"))
-    two = one.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n")))
+    two = one.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n", "at")))
     on = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2"))
+    # if this is the first shared shingle, no more than what follows it is shared; true of every link's first
+    on &= (100 + PERCENT) * F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= PERCENT * (F.col("n") + F.col("n_2"))
     pairs = one.join(two, (one["shingle"] == two["shingle"]) & on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
     return C.checkpoint(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
