@@ -265,6 +265,28 @@ def test_lm_windows_change_nothing(docs, monkeypatch):
     assert np.allclose(m.score(h, at)[0], whole)
 
 
+def test_lm_keeps_every_repeated_gram_however_texts_are_dealt(spark, docs):
+    """Scores are those of the brute-force automaton, from 1 or 40 partitions; n-grams once per partition count."""
+    rows = [(i, f"alpha beta gamma x{i} y{i % 7}") for i in range(60)]
+    for df, parts in ((spark.createDataFrame(rows, "doc_id long, text string"), (1, 40)), (docs, (3,))):
+        _, m, n, v = lm_score.learn(df)
+        texts = {r["doc_id"]: r["text"] for r in df.collect()}
+        h, off = lm_score.tokens(*C.text_bytes(pa.array(list(texts.values()), pa.string())))
+        want = dict(zip(texts, m.score(h, off)[0], strict=True))
+        # the automaton leaves out unigrams of words that only held-out texts have
+        rare = np.add.reduceat((m.word_ids(h) == len(m.words)).astype(int), off[:-1]) * math.log10(0.5 / (n + 0.5 * (v + 1)))
+        want = {i: w + r for (i, w), r in zip(want.items(), rare, strict=True)}
+        for k in parts:
+            got = {r["doc_id"]: r["score"] for r in lm_score.score(df.repartition(k)).collect()}
+            assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    # brute force: every bigram seen twice or more has an arc
+    words = [[None, *WORD.findall(low(t)), None] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = collections.Counter(p for w in words for p in zip(w, w[1:], strict=False))
+    t = collections.Counter(p for w in words for p in zip(w, w[1:], w[2:], strict=False))
+    _, m, _, _ = lm_score.learn(spark.createDataFrame(rows, "doc_id long, text string").repartition(40))
+    assert len(m.arc_key) == sum(x > 1 for x in c.values()) + sum(x > 1 for x in t.values())
+
+
 # -- 7 ---------------------------------------------------------------------
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 

@@ -1,23 +1,25 @@
 """Operator 6: language-model scoring by a weighted backoff automaton.
 
 Learning.  Words are lower-cased (A-Z) and every text ends with one end token,
-which is also the context a text starts from.  All training words are counted by
-a shuffle.  N-grams of orders 2 and 3 are kept if they make up ``SHARE`` of all
-training tokens or more (and occur twice), so there are at most 1 / SHARE of each
-order however large the corpus is: this is the proven bound of what is collected
-and broadcast.  Their counts are exact.  An n-gram that frequent is as frequent in
-some block of the corpus, so blocks first mark their frequent n-grams in a bitmap
-of fixed size, and a second pass counts, over all data, the n-grams marked.
-
-Automaton.  Kept contexts are states.  An arc (state, word) carries the discounted
-log-probability and leads to the longest known suffix; a missing arc takes the
-state's failure arc, whose weight is the backoff mass that makes each state's
-distribution sum to one.  The empty state gives the smoothed unigram.  Texts are
-read left to right with one state each; long texts are read in windows that start
-two tokens early, after which the state is that of the whole history.
-
-Words too rare for the broadcast lexicon have no arc but the empty state's: their
-counts come from a join on the word with the full unigram table.
+which is also the context a text starts from.  Every word and every n-gram of
+orders 2 and 3 that occurs ``LEAST`` times or more in the training texts is in the
+model, however large the corpus.  Counts are exact.
+
+Model.  p(w | u v) is the discounted share of w after u v, plus what the discounts
+and the n-grams left out leave of the mass (the backoff weight) times p(w | v);
+likewise down to the smoothed unigram.  So each history's distribution sums to one.
+
+Scale.  Nothing of the corpus is collected or broadcast.  Slices of texts ("chunks")
+send their distinct words and n-grams, with training counts, to buckets by hash;
+the number of buckets follows the size of the texts.  A trigram goes where its
+context goes, so a bucket has all the counts of its contexts.  Buckets sum the
+counts and answer each chunk that asked, in the order of its question; the chunk
+then has all it needs to score its texts.
+
+``learn`` gives the same model as an automaton in one process, for small corpora:
+kept contexts are states; an arc (state, word) carries the log-probability and
+leads to the longest known suffix; a missing arc takes the state's failure arc,
+whose weight is the backoff weight.
 
 Defined cases: null or blank text is the end token alone; a null id counts as the
 text "" for the training split; repeated rows are trained on and scored each; with no training
@@ -26,6 +28,7 @@ rows N = V = 0 and every word has the same base probability.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,10 +39,10 @@ from pyspark.sql import functions as F
 
 from textloom.llm import common as C
 
-#: Least share of the training tokens of a word or n-gram in the automaton.
-SHARE = 1e-6
-#: Tokens of a block in the first pass, and bits of its map of frequent n-grams.
-BLOCK, MAP_BITS = 4_000_000, 23
+#: Least training count of an n-gram in the model.
+LEAST = 2
+#: Text bytes of a chunk; characters of text for each bucket, and fewest buckets.
+CHUNK, PER_BUCKET, MIN_BUCKETS = 8 << 20, 8 << 20, 256
 DISCOUNT = 0.5
 #: Tokens of a window in scoring.
 WINDOW = 256
@@ -80,58 +83,183 @@ def _training(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 1)
 
 
-def _first_pass(train: DataFrame) -> DataFrame:
-    """(kind, key, c): unigram counts (0) and words of the block bitmaps (1)."""
+class Chunk:
+    """The distinct words, bigrams and trigrams of some texts, in an order that follows from the texts as a set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = seen = 0
-
-        def frequent() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            mark = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-            hit = keys[n >= max(2, SHARE * seen)] >> np.uint64(64 - MAP_BITS)
-            np.bitwise_or.at(mark, (hit >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (hit & np.uint64(7)).astype(np.uint8)))
-            words = mark.view(np.int64)
-            at = np.flatnonzero(words)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(words[at])], names=["kind", "key", "c"])
+    words: sorted hashes; bi: first * len(words) + second; tri: (context + 1) * len(words) + third, where
+    context is a bigram's index, or -1 at a text's first token, whose history is END alone.
+    """
 
-        for b in C.slices(batches, "text"):
-            h, off = tokens(*C.text_bytes(b.column(0)))
-            words, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(words), np.int32)), pa.array(words), pa.array(n)], names=["kind", "key", "c"])
-            for g in _grams(h, off):
-                held.append(_gram_hash(*g))
-            seen += len(h)
-            size += len(h)
-            if size >= BLOCK:
-                yield frequent()
-                held, size, seen = [], 0, 0
-        if held:
-            yield frequent()
+    def __init__(self, h: np.ndarray, off: np.ndarray) -> None:
+        self.off = off
+        self.words, ids = np.unique(np.append(h, END), return_inverse=True)
+        n, end, self.word_of = len(self.words), ids[-1], ids[:-1]
+        start = off[:-1]
+        prev = np.empty_like(self.word_of)
+        prev[1:] = self.word_of[:-1]
+        prev[start] = end
+        self.bi, self.bi_of = np.unique(prev * n + self.word_of, return_inverse=True)
+        context = np.empty_like(self.bi_of)
+        context[1:] = self.bi_of[:-1]
+        context[start] = -1
+        self.tri, self.tri_of = np.unique((context + 1) * n + self.word_of, return_inverse=True)
+        self.w1, self.w2 = self.bi // n, self.bi % n
+        self.context, self.w3 = self.tri // n - 1, self.tri % n
+        middle = np.where(self.context < 0, end, self.w2[self.context])
+        self.shorter = np.searchsorted(self.bi, middle * n + self.w3)
+        self.real = np.flatnonzero(self.context >= 0)  # trigrams proper
+
+    def gram_order(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bigrams and trigrams by bucket, and the buckets' offsets in both."""
+        key = _gram_hash(np.zeros(len(self.bi), np.int64), self.words[self.w1], self.words[self.w2])
+        at = (key % np.uint64(buckets)).astype(np.int64)
+        two = np.argsort(at, kind="stable")
+        of = at[self.context[self.real]]
+        order = np.argsort(of, kind="stable")
+        every = np.arange(buckets + 1)
+        return two, self.real[order], np.searchsorted(at[two], every), np.searchsorted(of[order], every)
+
+    def word_order(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        at = _word_bucket(self.words, buckets)
+        order = np.argsort(at, kind="stable")
+        return order, np.searchsorted(at[order], np.arange(buckets + 1))
+
+
+def _word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (C.mix(h.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _pack(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """values[off[i]:off[i + 1]] as the bytes of row i."""
+    off = (np.asarray(off) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))])
 
-    return train.select("text").mapInArrow(run, "kind int, key long, c long")
 
+def _unpack(col: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' values one after the other, and the rows' offsets."""
+    data, off = C.text_bytes(col)
+    return np.frombuffer(data.tobytes(), kind), off // np.dtype(kind).itemsize
 
-def _second_pass(train: DataFrame, mark: np.ndarray) -> DataFrame:
-    """(w1, w2, w3, c): counts, by slice, of every n-gram marked."""
-    shared = train.sparkSession.sparkContext.broadcast(mark)
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of (doc_id, text, held_out) and their ids, which hold task, place and content."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    for i, b in enumerate(C.slices(batches, "text", CHUNK)):
+        data, off = C.text_bytes(b.column(1))
+        yield (((task << 24) + i) << 20) + zlib.crc32(off.tobytes(), zlib.crc32(data.tobytes())) % (1 << 20), b
+
+
+def _trained(b: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
+    """For each token whether its text is a training text."""
+    return np.repeat(~b.column(2).to_numpy(zero_copy_only=False), np.diff(off))
+
+
+def _ask_grams(rows: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, b in _chunks(batches):
+            h, off = tokens(*C.text_bytes(b.column(1)))
+            c, train = Chunk(h, off), _trained(b, off)
+            two, three, at2, at3 = c.gram_order(buckets)
+            n2 = np.bincount(c.bi_of[train], minlength=len(c.bi)).astype(np.int32)
+            n3 = np.bincount(c.tri_of[train], minlength=len(c.tri)).astype(np.int32)
+            follow = np.bincount(c.context[c.real], minlength=len(c.bi)).astype(np.int32)
+            cols = [_pack(c.words[c.w1[two]], at2), _pack(c.words[c.w2[two]], at2), _pack(n2[two], at2), _pack(follow[two], at2), _pack(c.words[c.w3[three]], at3), _pack(n3[three], at3)]
+            got = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(np.full(buckets, chunk)), *cols], names=["bucket", "chunk", "w1", "w2", "n2", "follow", "w3", "n3"])
+            yield got.filter(pa.array(np.diff(at2) > 0))
+
+    return rows.mapInArrow(run, "bucket long, chunk long, w1 binary, w2 binary, n2 binary, follow binary, w3 binary, n3 binary")
+
+
+def _ask_words(rows: DataFrame, buckets: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, b in _chunks(batches):
+            h, off = tokens(*C.text_bytes(b.column(1)))
+            words, ids = np.unique(np.append(h, END), return_inverse=True)
+            n = np.bincount(ids[:-1][_trained(b, off)], minlength=len(words)).astype(np.int32)
+            at = _word_bucket(words, buckets)
+            order = np.argsort(at, kind="stable")
+            at = np.searchsorted(at[order], np.arange(buckets + 1))
+            got = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(np.full(buckets, chunk)), _pack(words[order], at), _pack(n[order], at)], names=["bucket", "chunk", "w", "n"])
+            yield got.filter(pa.array(np.diff(at) > 0))
+
+    return rows.mapInArrow(run, "bucket long, chunk long, w binary, n binary")
+
+
+#: kind 2: an answer on n-grams (bigram counts, mass kept of each as a context, trigram counts);
+#: kind 1: an answer on words (counts, mass kept, nothing); kind 0, sent to the words' buckets: words and their mass kept.
+ANSWER = "kind int, chunk long, bucket long, a binary, b binary, c binary"
+
+
+def _answer(kind: int, chunk: np.ndarray, bucket: np.ndarray, *cols: pa.Array) -> pa.Table:
+    cols = [*cols, *[pa.nulls(len(chunk), pa.binary())] * (3 - len(cols))]
+    return pa.table([pa.array(np.full(len(chunk), kind, np.int32)), pa.array(chunk), pa.array(bucket), *cols], names=["kind", "chunk", "bucket", "a", "b", "c"])
+
+
+def _sum_grams(asked: DataFrame, buckets: int) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        (w1, at2), (w2, _), (n2, _), (follow, _) = (_unpack(t[c], k) for c, k in (("w1", np.int64), ("w2", np.int64), ("n2", np.int32), ("follow", np.int32)))
+        (w3, at3), (n3, _) = _unpack(t["w3"], np.int64), _unpack(t["n3"], np.int32)
+        key = _gram_hash(np.zeros(len(w1), np.int64), w1, w2)
+        key, first, of2 = np.unique(key, return_index=True, return_inverse=True)
+        c2 = np.bincount(of2, n2, len(key))
+        c2[c2 < LEAST] = 0
+        context = np.repeat(of2, follow)
+        _, one, of3 = np.unique(_gram_hash(key.view(np.int64)[context], np.ones(len(w3), np.int64), w3), return_index=True, return_inverse=True)
+        c3 = np.bincount(of3, n3, len(one))
+        c3[c3 < LEAST] = 0
+        mass = np.bincount(context[one], np.where(c3 > 0, c3 - DISCOUNT, 0), len(key))
+        out = _answer(2, t["chunk"].to_numpy(), t["bucket"].to_numpy(), _pack(c2[of2].astype(np.uint32), at2), _pack(mass[of2], at2), _pack(c3[of3].astype(np.uint32), at3))
+        kept = c2 > 0
+        w, of = np.unique(w1[first[kept]], return_inverse=True)
+        sums = np.bincount(of, c2[kept] - DISCOUNT, len(w))
+        to = _word_bucket(w, buckets)
+        o = np.argsort(to, kind="stable")
+        some, n = np.unique(to, return_counts=True)
+        at = np.append(0, np.cumsum(n))
+        return pa.concat_tables([out, _answer(0, np.full(len(some), -1), some, _pack(w[o], at), _pack(sums[o], at))])
+
+    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def _sum_words(asked: DataFrame, sums: DataFrame) -> DataFrame:
+    def run(t: pa.Table, kept: pa.Table) -> pa.Table:
+        (w, at), (n, _) = _unpack(t["w"], np.int64), _unpack(t["n"], np.int32)
+        words, of = np.unique(w, return_inverse=True)
+        c = np.bincount(of, n, len(words)).astype(np.int64)
+        mass = np.zeros(len(words))
+        np.add.at(mass, np.searchsorted(words, _unpack(kept["a"], np.int64)[0]), _unpack(kept["b"], np.float64)[0])
+        out = _answer(1, t["chunk"].to_numpy(), t["bucket"].to_numpy(), _pack(c[of], at), _pack(mass[of], at))
+        # of the bucket: training tokens and distinct training words
+        total = _answer(0, np.array([-1]), np.asarray(t["bucket"][:1]), _pack(np.array([c.sum(), (c > 0).sum()]), np.array([0, 2])))
+        return pa.concat_tables([out, total])
+
+    return asked.groupBy("bucket").cogroup(sums.groupBy("bucket")).applyInArrow(run, ANSWER)
+
+
+def _gram_rows(train: DataFrame) -> DataFrame:
+    """(w1, w2, w3, c): counts, by slice, of every n-gram; w1 = 0 in bigrams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for b in C.slices(batches, "text"):
             h, off = tokens(*C.text_bytes(b.column(0)))
             for w1, w2, w3 in _grams(h, off):
-                key = _gram_hash(w1, w2, w3)
-                bucket = key >> np.uint64(64 - MAP_BITS)
-                hit = (bits[(bucket >> np.uint64(3)).astype(np.int64)] >> (bucket & np.uint64(7)).astype(np.uint8)) & 1 == 1
-                key, w1, w2, w3 = key[hit], w1[hit], w2[hit], w3[hit]
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
+                _, first, n = np.unique(_gram_hash(w1, w2, w3), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w1[first]), pa.array(w2[first]), pa.array(w3[first]), pa.array(n)], names=["w1", "w2", "w3", "c"])
 
     return train.select("text").mapInArrow(run, "w1 long, w2 long, w3 long, c long")
 
 
+def _word_rows(train: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.slices(batches, "text"):
+            words, n = np.unique(tokens(*C.text_bytes(b.column(0)))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], names=["h", "c"])
+
+    return train.select("text").mapInArrow(run, "h long, c long")
+
+
 @dataclass
 class Automaton:
     """Arrays of the automaton; state 0 is empty, word len(words) is any rarer word."""
@@ -234,13 +362,14 @@ def build(head: np.ndarray, head_count: np.ndarray, grams: np.ndarray, n: int, v
 
     p2 = (bc - DISCOUNT) / count[b1]
     left = 1 - np.bincount(b1, p2, width)
-    lower = 1 - np.bincount(b1, uni[b2], width)
-    backoff[1 : 1 + len(one)] = np.log10(np.maximum(left[one], 1e-9) / np.maximum(lower[one], 1e-9))
+    backoff[1 : 1 + len(one)] = np.log10(left[one])
+    p2 += left[b1] * uni[b2]
     p3 = (tc - DISCOUNT) / bc[ctx] if len(ctx) else np.zeros(0)
     shorter = np.searchsorted(key, t2 * width + t3)  # kept, as no rarer than the trigram
     left = 1 - np.bincount(ctx, p3, len(key) + 1)
-    lower = 1 - np.bincount(ctx, p2[shorter] if len(ctx) else None, len(key) + 1)
-    backoff[1 + len(one) :] = np.log10(np.maximum(left[two], 1e-9) / np.maximum(lower[two], 1e-9))
+    backoff[1 + len(one) :] = np.log10(left[two])
+    if len(ctx):
+        p3 += left[ctx] * p2[shorter]
 
     longest = np.where(state_of_gram[:-1] > 0, state_of_gram[:-1], state_of_word[b2])
     arc_key = np.concatenate((state_of_word[b1] * width + b2, state_of_gram[ctx] * width + t3))
@@ -252,52 +381,66 @@ def build(head: np.ndarray, head_count: np.ndarray, grams: np.ndarray, n: int, v
     return Automaton(words, log_uni, state_of_word, arc_key[o], arc_p[o], arc_next[o], fail, backoff)
 
 
-def _arrow(df: DataFrame) -> pa.Table:
-    return df.toArrow()
-
-
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Automaton, int, int]:
-    """The full unigram table (h, c), the automaton, and the training tokens and distinct words."""
+    """For small corpora: the unigram table (h, c), the automaton, and the training tokens and distinct words."""
     train = _training(docs, id_col, text_col).where(~F.col("held_out"))
-    counts = C.checkpoint(_first_pass(train).groupBy("kind", "key").agg(F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("c"), F.bit_or("c").alias("bits")))
-    uni = counts.where("kind = 0").select(F.col("key").alias("h"), "c")
+    uni = C.checkpoint(_word_rows(train).groupBy("h").agg(F.sum("c").alias("c")))
     n, v = uni.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = max(2.0, SHARE * n)
-    marks = _arrow(counts.where("kind = 1").select("key", "bits"))  # at most 2**(MAP_BITS - 6) rows
-    mark = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    mark[marks["key"].to_numpy()] = marks["bits"].to_numpy()
-    head = _arrow(uni.where(F.col("c") >= least))  # at most 1 / SHARE rows
-    grams = _second_pass(train, mark.view(np.uint8)).groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    kept = _arrow(grams)  # at most 1 / SHARE rows of each order
+    head = uni.toArrow()
+    kept = _gram_rows(train).groupBy("w1", "w2", "w3").agg(F.sum("c").alias("c")).where(F.col("c") >= LEAST).toArrow()
     rows = np.stack([kept[c].to_numpy() for c in ("w1", "w2", "w3", "c")], 1) if kept.num_rows else np.zeros((0, 4), np.int64)
     return uni, build(head["h"].to_numpy(), head["c"].to_numpy(), rows, n, v), n, v
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Learn from the training rows and score all of them."""
-    uni, model, n, v = learn(docs, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Automaton = shared.value
-        for b in C.slices(batches, "text"):
-            h, off = tokens(*C.text_bytes(b.column(1)))
-            total, ids = own.score(h, off)
-            rare = ids == len(own.words)
-            tail_off = np.append(0, np.cumsum(rare))[off]
-            base = np.bincount(np.repeat(np.arange(len(off) - 1), np.diff(off)), own.log_uni[ids], len(off) - 1)
-            cols = [b.column(0), b.column(2), pa.array(np.diff(off)), pa.array(C.seg_sum(~rare, off)), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.ListArray.from_arrays(pa.array(tail_off, pa.int32()), pa.array(h[rare]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "rare"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>"
-    rows = C.checkpoint(_training(docs, id_col, text_col).mapInArrow(run, schema)).withColumn("row", F.monotonically_increasing_id())
-    # rare words: their counts by a join, summed for each text
-    part = rows.select("row", F.explode("rare").alias("h"))
-    logp = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    tail = part.join(uni, "h", "left").groupBy("row").agg(F.sum(logp).alias("tail"), F.count("c").alias("tail_known"))
-    out = rows.drop("rare").join(tail, "row", "left")
-    zero = F.lit(0.0)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail", zero)).alias("base_score"), (F.col("score") + F.coalesce("tail", zero)).alias("score"))
+    rows = _training(docs, id_col, text_col)
+    size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    buckets = max(MIN_BUCKETS, -(-size // PER_BUCKET))
+    grams = C.checkpoint(_sum_grams(_ask_grams(rows, buckets), buckets))
+    words = C.checkpoint(_sum_words(_ask_words(rows, buckets), grams.where("kind = 0").select("bucket", "a", "b")))
+    totals = words.where("kind = 0").select("a").toArrow()  # a row for each bucket
+    n, v = (int(x) for x in _unpack(totals["a"], np.int64)[0].reshape(-1, 2).sum(0)) if totals.num_rows else (0, 0)
+    answers = grams.where("kind = 2").unionByName(words.where("kind = 1"))
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, b in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk)), *b.columns], names=["chunk", "doc_id", "text", "held_out"])
+
+    def run(t: pa.Table, got: pa.Table) -> pa.Table:
+        h, off = tokens(*C.text_bytes(t["text"]))
+        c = Chunk(h, off)
+        two, three, at2, at3 = c.gram_order(buckets)
+        order, at = c.word_order(buckets)
+        got = got.sort_by("bucket")
+        kind = got["kind"].to_numpy()
+        of_grams, of_words = got.filter(pa.array(kind == 2)), got.filter(pa.array(kind == 1))
+
+        def put(size: int, where: np.ndarray, col: pa.ChunkedArray, dtype: type) -> np.ndarray:
+            out = np.zeros(size)
+            values = _unpack(col, dtype)[0]
+            if len(values) != len(where):
+                raise ValueError("the texts were dealt otherwise when they were read again")
+            out[where] = values
+            return out
+
+        c1, mass1 = put(len(c.words), order, of_words["a"], np.int64), put(len(c.words), order, of_words["b"], np.float64)
+        c2, mass2 = put(len(c.bi), two, of_grams["a"], np.uint32), put(len(c.bi), two, of_grams["b"], np.float64)
+        c3 = put(len(c.tri), three, of_grams["c"], np.uint32)
+        uni = (c1 + 0.5) / (n + 0.5 * (v + 1))
+        m1, m2 = c1[c.w1], np.maximum(c2, 1)
+        p2 = np.where(c2 > 0, c2 - DISCOUNT, 0) / np.maximum(m1, 1) + (1 - mass1[c.w1] / np.maximum(m1, 1)) * uni[c.w2]
+        ctx = np.maximum(c.context, 0)
+        p3 = np.where(c3 > 0, c3 - DISCOUNT, 0) / m2[ctx] + (1 - mass2[ctx] / m2[ctx]) * p2[c.shorter]
+        p = np.log10(np.where(c.context < 0, p2[c.shorter], p3))
+        size, text = len(off) - 1, np.repeat(np.arange(len(off) - 1), np.diff(off))
+        base = np.bincount(text, np.log10(uni)[c.word_of], size)
+        total = np.bincount(text, p[c.tri_of], size)
+        cols = [t["doc_id"], t["held_out"], pa.array(np.diff(off)), pa.array(C.seg_sum(c1[c.word_of] > 0, off)), pa.array(np.full(size, n)), pa.array(base), pa.array(total)]
+        return pa.table(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.mapInArrow(texts, "chunk long, doc_id long, text string, held_out boolean").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
