@@ -400,6 +400,36 @@ def test_near_dup_of_drifting_copies(spark):
     check_near(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), rows)
 
 
+def test_near_dup_by_five_words_and_80_percent(spark):
+    """The pipeline's stage links what op9's contract doesn't; both against brute force."""
+    import corpus_pipeline
+
+    assert (near_dup.Rule().rows, near_dup.Rule().bands, near_dup.Rule(5, 80).rows, near_dup.Rule(5, 80).bands) == (6, 36, 5, 43)
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    rows = {1: " ".join(base), 2: " ".join([*base, *(f"n{i}" for i in range(60))]), 3: "one two three four", 4: "One two three four"}
+    for i in range(10, 60):
+        t = list(base[::-1])
+        for j in rng.choice(300, rng.integers(0, 14), replace=False):
+            t[j] = f"m{i}x{j}"
+        rows[i] = " ".join(t)
+    sets = {}
+    for i, t in rows.items():
+        w = low(t).split()
+        sets[i] = {tuple(w)} if len(w) < 5 else set(zip(w, w[1:], w[2:], w[3:], w[4:], strict=False))
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["doc_id"] for r in corpus_pipeline.one_of_each(spark, df, DATA).collect()}
+    assert set(got) == {i for i in root if root[i] == i} and 2 not in got
+    assert {r["doc_id"]: r["component_id"] for r in near_dup.linked(df, shingle=5, percent=80).collect()} == root
+    check_near(df, rows)
+
+
 def test_near_dup_null_id_and_clashing_columns(odd):
     got = {r["doc_id"]: r for r in near_dup.linked(odd).collect()}
     assert got[None]["component_id"] is None and got[None]["kept"]

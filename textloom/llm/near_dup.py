@@ -1,10 +1,11 @@
 """Operator 9: near-duplicates by SetSketch registers.
 
-A document's set is its distinct three-word shingles (lower-cased A-Z), or the
-whole sequence if it has fewer words.  Register j of its sketch is the truncated
+A document's set is its distinct shingles of ``shingle`` words (lower-cased A-Z),
+three by default, or the whole sequence if it has fewer words.  A link is a
+similarity of ``percent`` % or more, 85 by default.  Register j of its sketch is the truncated
 minimum floor(1 - log_b x), x the least of exponential variates that register j
 draws for the shingles; sketches merge by maximum, and equal registers are as
-likely as the sets are alike.  Bands of ``ROWS`` registers give candidates, the
+likely as the sets are alike.  Bands of registers (see ``Rule``) give candidates, the
 joint likelihood of the register orders given both set sizes drops pairs that
 cannot reach the threshold, and links are confirmed on the full sets.
 
@@ -16,11 +17,11 @@ Groups of copies never give all pairs:
   component need no further test;
 * members of buckets that still hold several components are joined by prefixes of
   their sets: shingles are put in one order, rare ones first, and a link must share
-  a shingle among the first n - ceil(0.85 n) + 1 of both, and after the first one
+  a shingle among the first n - ceil(percent n / 100) + 1 of both, and after the first one
   shared enough must be left in both.  Copies that drifted apart have prefixes of
   their own and never meet.  This join is exact.
-So no link is lost but by the bands: at the threshold a pair shares none of
-``BANDS`` bands with probability (1 - 0.85**6)**36 < 1e-7.
+So no link is lost but by the bands: at the threshold a pair shares none with
+probability below ``MISS``, (1 - 0.85**6)**36 at 85 % and (1 - 0.8**5)**43 at 80 %.
 
 Defined cases: null or blank text is an empty set, linked with nothing; rows of
 one doc_id count as one document; a null doc_id has a null component and is kept;
@@ -30,6 +31,7 @@ an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,9 @@ from textloom.llm.components import components
 SHINGLE = 3
 #: link if PERCENT * union <= 100 * intersection
 PERCENT = 85
-ROWS, BANDS = 6, 36
-REGISTERS = ROWS * BANDS
+REGISTERS = 216
+#: Greatest probability that a pair at the threshold shares no band.
+MISS = 1e-7
 BASE, RATE = 1.001, 20.0
 #: Most buckets with several members that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
@@ -58,6 +61,24 @@ _ADD = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 _WINDOW = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Words of a shingle and the least similarity of a link in percent."""
+
+    shingle: int = SHINGLE
+    percent: int = PERCENT
+
+    @property
+    def rows(self) -> int:
+        """Registers of a band: the most with which the bands still miss no more than ``MISS``."""
+        p = self.percent / 100
+        return max((k for k in range(1, REGISTERS + 1) if (1 - p**k) ** (REGISTERS // k) <= MISS), default=1)
+
+    @property
+    def bands(self) -> int:
+        return REGISTERS // self.rows
+
+
 def shingles(data: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every text, sorted, and the texts' offsets."""
     w = C.Words(C.LOWER[data], off)
@@ -106,13 +127,14 @@ def registers(s: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(reg: np.ndarray) -> np.ndarray:
+def band_hashes(reg: np.ndarray, rule: Rule = Rule()) -> np.ndarray:
     """A hash for each band; holds the band's number."""
     with np.errstate(over="ignore"):
-        h = np.zeros((len(reg), BANDS), np.uint64)
-        for r in range(ROWS):
-            h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + reg[:, r::ROWS].astype(np.uint64) + np.uint64(1))
-        return C.mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        rows, bands = rule.rows, rule.bands
+        h = np.zeros((len(reg), bands), np.uint64)
+        for r in range(rows):
+            h = C.mix(h * np.uint64(0x9E3779B97F4A7C15) + reg[:, r : rows * bands : rows].astype(np.uint64) + np.uint64(1))
+        return C.mix(h + np.arange(bands, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _log_p(x: np.ndarray) -> np.ndarray:
@@ -142,12 +164,12 @@ def estimate(nu: np.ndarray, nv: np.ndarray, ru: np.ndarray, rv: np.ndarray, flo
     return best, (best < floor) & (gap > RULED_OUT)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n, two hashes of the whole set, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text"):
-            s, off = shingles(*C.text_bytes(b.column(1)))
+            s, off = shingles(*C.text_bytes(b.column(1)), rule.shingle)
             with np.errstate(over="ignore"):
                 one = C.seg_reduce(np.add, s, off, 0)
                 two = C.seg_reduce(np.add, C.mix(s ^ _WINDOW[4]), off, 0)
@@ -163,17 +185,17 @@ def _regs(col: pa.Array) -> np.ndarray:
     return C.text_bytes(col)[0].view(np.uint16).reshape(-1, REGISTERS)
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def _bands(classes: DataFrame, rule: Rule) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                h = band_hashes(_regs(b.column(1)))
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["bucket", "rep"])
+                h = band_hashes(_regs(b.column(1)), rule)
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(np.repeat(b.column(0).to_numpy(), rule.bands))], names=["bucket", "rep"])
 
     return classes.select("rep", "reg").mapInArrow(run, "bucket long, rep long")
 
 
-def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b, inter, uni) of the pairs that the joint likelihood doesn't rule out, from their full sets."""
     one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
     two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
@@ -182,13 +204,13 @@ def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 n1, n2 = b.column(2).to_numpy().astype(float), b.column(4).to_numpy().astype(float)
-                _, out = estimate(n1, n2, _regs(b.column(3)), _regs(b.column(5)), PERCENT / 100)
+                _, out = estimate(n1, n2, _regs(b.column(3)), _regs(b.column(5)), rule.percent / 100)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(~out))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "ta"):
-            sa, oa = shingles(*C.text_bytes(b.column(2)))
-            sb, ob = shingles(*C.text_bytes(b.column(3)))
+            sa, oa = shingles(*C.text_bytes(b.column(2)), rule.shingle)
+            sb, ob = shingles(*C.text_bytes(b.column(3)), rule.shingle)
             pair = np.concatenate((np.repeat(np.arange(b.num_rows), np.diff(oa)), np.repeat(np.arange(b.num_rows), np.diff(ob))))
             s = np.concatenate((sa, sb))
             o = np.lexsort((s, pair))
@@ -197,7 +219,7 @@ def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
             uni = np.diff(oa) + np.diff(ob) - both
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both), pa.array(uni)], names=["a", "b", "inter", "uni"])
 
-    pairs = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b", "na", "ra", "nb", "rb")
+    pairs = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= rule.percent * F.greatest("na", "nb")).select("a", "b", "na", "ra", "nb", "rb")
     close = C.checkpoint(pairs.mapInArrow(likely, "a long, b long"))
     need = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
     need = texts.join(need, "rep", "left_semi")
@@ -205,25 +227,26 @@ def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     return C.checkpoint(full.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long, inter long, uni long"))
 
 
-def _links(tested: DataFrame) -> DataFrame:
-    return tested.where(100 * F.col("inter") >= PERCENT * F.col("uni")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+def _links(tested: DataFrame, rule: Rule) -> DataFrame:
+    return tested.where(100 * F.col("inter") >= rule.percent * F.col("uni")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    own = C.checkpoint(sketches(docs, id_col, text_col))
+    rule = Rule(shingle, percent)
+    own = C.checkpoint(sketches(docs, id_col, text_col, rule))
     some = own.where("n > 0 and doc_id is not null")
     classes = C.checkpoint(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg")))
-    bands = C.checkpoint(_members(_bands(classes)))
+    bands = C.checkpoint(_members(_bands(classes, rule)))
     # texts of the representatives; rows of one id count as one document, so the first by hash is as good as any
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
 
-    tested = _test(_pivot_pairs(bands), classes, texts)
-    links = _links(tested)
+    tested = _test(_pivot_pairs(bands), classes, texts, rule)
+    links = _links(tested, rule)
     label = components(links)
-    left = _undecided(bands, label, tested, texts)
+    left = _undecided(bands, label, tested, texts, rule)
     if not left.isEmpty():
-        links = links.union(_links(_test(left, classes, texts)))
+        links = links.union(_links(_test(left, classes, texts, rule), rule))
         label = components(links)
     named = classes.select("h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = own.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
@@ -248,7 +271,7 @@ def _pivot_pairs(bands: DataFrame) -> DataFrame:
     return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
 
 
-def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
+def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """Pairs in different components, of members of undecided buckets, whose prefixes meet (checkpointed)."""
     rows = bands.where("size > 2").select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     rows = C.checkpoint(rows)
@@ -259,7 +282,7 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: Dat
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
         for b in C.slices(batches, "text"):
-            s, _ = shingles(*C.text_bytes(b.column(2)))
+            s, _ = shingles(*C.text_bytes(b.column(2)), rule.shingle)
             total += np.bincount((s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
@@ -273,11 +296,11 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: Dat
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for b in C.slices(batches, "text"):
-            s, off = shingles(*C.text_bytes(b.column(2)))
+            s, off = shingles(*C.text_bytes(b.column(2)), rule.shingle)
             n = np.diff(off)
             doc = np.repeat(np.arange(len(n)), n)
             o = np.lexsort((s, common[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)], doc))
-            length = n - -(-PERCENT * n // 100) + (n > 0)
+            length = n - -(-rule.percent * n // 100) + (n > 0)
             at = C.ragged(off[:-1], length)
             doc = doc[o][at]
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc]), pa.array(C.ragged(np.zeros(len(n), np.int64), length))], names=["shingle", "rep", "component", "n", "at"])
@@ -287,16 +310,16 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: Dat
     meet = pre.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     one = C.checkpoint(pre.join(meet, "shingle"))
     two = one.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n", "at")))
-    on = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= PERCENT * F.greatest("n", "n_2"))
+    on = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= rule.percent * F.greatest("n", "n_2"))
     # if this is the first shared shingle, no more than what follows it is shared; true of every link's first
-    on &= (100 + PERCENT) * F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= PERCENT * (F.col("n") + F.col("n_2"))
+    on &= (100 + rule.percent) * F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= rule.percent * (F.col("n") + F.col("n_2"))
     pairs = one.join(two, (one["shingle"] == two["shingle"]) & on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
     return C.checkpoint(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that stay, one of each component, with all their columns."""
-    kept = linked(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = linked(docs, id_col, text_col, shingle, percent).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
 
 
