@@ -469,6 +469,26 @@ def test_licenses(spark, docs, texts, none):
     assert licenses.scan(none.withColumn("path", F.lit("p"))).count() == 0
 
 
+def test_licenses_without_keywords_wrapped_and_by_tag(spark, docs):
+    code = "\n".join(f"value{i} = compute{i}(matrix{i}, vector{i})" for i in range(80))
+    header = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General\n# Public License as published by the Free Software\n# Foundation, either version 3 of the License, or any\n# later version.\n"
+    rows = {
+        1: ("This is free and unencumbered software released into the public domain.\n" + code, "Unlicense"),
+        2: ("Permission is hereby granted, free of charge, to any person obtaining a copy\n" + code, "MIT"),
+        3: (code + "\n" + header + code, "GPL-3.0"),
+        4: ("// SPDX-License-Identifier: MIT\n" + code, "MIT"),
+        5: ("// SPDX-License-Identifier: GPL-3.0-only\n" + code, "GPL-3.0"),
+        6: ("// SPDX-License-Identifier: MPL-2.0\n" + code, "MPL-2.0"),
+        7: ("// SPDX-License-Identifier: Zlib\n" + code, None),
+        8: ("4.0\nversion\nof the\n" + code, None),
+        9: (code, None),
+    }
+    made = spark.createDataFrame([(-i, t) for i, (t, _) in rows.items()], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(made).withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/x.txt")))
+    got = {-r["doc_id"]: r["license"] for r in licenses.scan(both).where("doc_id < 0").collect()}
+    assert got == {i: name for i, (_, name) in rows.items()}
+
+
 # -- pipeline --------------------------------------------------------------
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p

@@ -1,12 +1,18 @@
 """Operator 10: licence scans by TF-IDF cosine, with inheritance along directories.
 
-Every line that holds a licence word, and the whole text of files that have such a
-line, is compared with short licence templates by the cosine of sparse TF-IDF
-vectors.  The document frequencies of the templates' terms are counted over all
-texts; other terms get the frequency of a term seen once.  A file's own licence is
-the best template of ``LEAST`` or more.
-
-A licence file (by its name, or whose first line with a word is a notice) gives
+Every line, every block of adjoining lines and every whole text is compared with
+short licence templates by the cosine of sparse TF-IDF vectors.  Blocks are the
+maximal runs of adjoining lines with words, and of lines made up mostly of template
+terms (by weight), between which lines without words don't count: so a wrapped
+header is compared as one.  A unit counts if it shares a word of ``KEYS`` or at
+least ``SHARED`` different terms with the templates; a line "4.0" is no notice.  No
+cosine is worked out where the weight of a unit's template terms shows that it can't
+reach ``LEAST``.  An SPDX template counts only where all its terms are there, as
+the tag's own words don't tell which licence it names.  The document frequencies of
+the templates' terms are counted over all texts; other terms get the frequency of a
+term seen once.  A file's own licence is the best template of ``LEAST`` or more.
+
+A licence file (by its name, or whose first line or block with a word is a notice) gives
 its licence to its directory.  Files without their own take that of the nearest
 ancestor directory: the distinct directories are joined with their ancestors'
 licences by path, and files with their directory.
@@ -28,7 +34,9 @@ from pyspark.sql import functions as F
 from textloom.llm import common as C
 
 LEAST = 0.5
-#: Words without which a line is no notice.
+#: Different template terms that a notice shares if it has none of KEYS.
+SHARED = 3
+#: Words of which one is enough.
 KEYS = (b"license", b"licensed", b"licence", b"licenced", b"copyright", b"rights", b"spdx", b"unlicense", b"cc0", b"warranty", b"redistribution")
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -53,6 +61,10 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "Copyright. All rights reserved. Unauthorized copying is prohibited."),
 )
+SPDX = ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "ISC", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "CC0-1.0", "Unlicense")
+#: The texts compared; those from the first SPDX tag on count only as a whole.
+PLAIN = len(TEMPLATES)
+TEMPLATES += tuple((n, f"SPDX-License-Identifier: {n}{end}") for n in SPDX for end in (("", "-only", "-or-later") if "GPL" in n else ("",)))
 #: Letters, digits and all bytes of other scripts.
 INSIDE = np.array([chr(b).isalnum() and b < 0x80 or b >= 0x80 for b in range(256)])
 NAME = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
@@ -113,18 +125,31 @@ def own_licenses(docs: DataFrame, id_col: str, text_col: str, path_col: str) ->
     keys = np.isin(np.array(_vocabulary(), object), np.array(KEYS, object))
     names = np.array([n for n, _ in TEMPLATES], object)
 
-    def best(unit: np.ndarray, ids: np.ndarray, known: np.ndarray, n: int, n_ids: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosine and template of each unit of words."""
+    need = (matrix > 0).astype(float)
+    need[:, :PLAIN] = 0
+    terms = need.sum(0)
+
+    def best(unit: np.ndarray, ids: np.ndarray, known: np.ndarray, n_ids: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Units that may reach LEAST, their cosine and template; and for every unit if it is mostly template terms."""
+        n = int(unit[-1]) + 1 if len(unit) else 0
         pair, tf = np.unique(unit * n_ids + ids, return_counts=True)
         u, term = pair // n_ids, known[pair % n_ids]
         weight = tf * idf[np.where(term >= 0, term, len(idf) - 1)]
-        norm = np.sqrt(np.bincount(u, weight**2, n))
+        square = np.bincount(u, weight**2, n)
         hit = term >= 0
-        dot = np.zeros((n, matrix.shape[1]))
-        np.add.at(dot, u[hit], weight[hit, None] * matrix[term[hit]])
-        cos = dot / np.maximum(norm, 1e-12)[:, None]
+        u, term, weight = u[hit], term[hit], weight[hit]
+        mostly = np.bincount(u, weight**2, n) >= LEAST**2 * square * (1 - 1e-9)
+        some = np.flatnonzero(mostly & ((np.bincount(u, minlength=n) >= SHARED) | (np.bincount(u, keys[term], n) > 0)))
+        at = np.full(n, -1)
+        at[some] = np.arange(len(some))
+        u = at[u]
+        u, term, weight = u[u >= 0], term[u >= 0], weight[u >= 0]
+        dot, have = np.zeros((len(some), matrix.shape[1])), np.zeros((len(some), matrix.shape[1]))
+        np.add.at(dot, u, weight[:, None] * matrix[term])
+        np.add.at(have, u, need[term])
+        cos = np.where(have >= terms, dot, 0) / np.sqrt(np.maximum(square[some], 1e-24))[:, None]
         top = cos.argmax(1)
-        return cos[np.arange(n), top], top
+        return some, cos[np.arange(len(some)), top], top, mostly
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text"):
@@ -134,26 +159,36 @@ def own_licenses(docs: DataFrame, id_col: str, text_col: str, path_col: str) ->
             known = _find(w.vocab, vocab)
             doc = w.docs()
             line = np.searchsorted(np.sort(np.concatenate((np.flatnonzero(data == 10), off[:-1] - 1))), w.starts, "right")
-            is_key = (known >= 0) & keys[known]
             score, top, first = np.zeros(n), np.full(n, -1), np.zeros(n, bool)
-            lines = np.unique(line[is_key[w.ids]])
-            if len(lines):
-                sel = np.flatnonzero(np.isin(line, lines))
-                unit = np.searchsorted(lines, line[sel])
-                cos, t = best(unit, w.ids[sel], known, len(lines), len(w.vocab))
-                start = np.searchsorted(line[sel], lines)
-                of = doc[sel][start]
-                opening = sel[start] == w.offsets[of]
-                order = np.lexsort((t, -cos, of))
-                lead = np.append(True, of[order][1:] != of[order][:-1])
-                o = order[lead]
+            every = np.arange(len(doc))
+            of, cosines, which = [], [], []
+
+            def compare(sel: np.ndarray, new: np.ndarray, opens: bool = True) -> np.ndarray:
+                """Score the units of the words ``sel``, which begin where ``new``."""
+                unit = np.cumsum(new) - 1
+                some, cos, t, mostly = best(unit, w.ids[sel], known, len(w.vocab))
+                start = sel[np.flatnonzero(new)[some]]
+                of.append(doc[start])
+                cosines.append(cos)
+                which.append(t)
+                if opens:
+                    first[doc[start][(start == w.offsets[doc[start]]) & (cos >= LEAST)]] = True
+                return mostly[unit]
+
+            if len(doc):
+                other = np.append(True, doc[1:] != doc[:-1])
+                step = np.append(0, np.diff(line))
+                mostly = compare(every, other | (step > 0))
+                compare(every, other | (step > 1))
+                compare(every, other, False)
+                sel = every[mostly]
+                if len(sel):
+                    # words between two of the selection are of a line that isn't mostly template terms
+                    compare(sel, other[sel] | np.append(True, np.diff(sel) > 1))
+                of, cos, t = np.concatenate(of), np.concatenate(cosines), np.concatenate(which)
+                o = np.lexsort((t, -cos, of))
+                o = o[np.append(True, of[o][1:] != of[o][:-1])] if len(o) else o
                 score[of[o]], top[of[o]] = cos[o], t[o]
-                first[of[opening & (cos >= LEAST)]] = True
-                some = np.unique(of)
-                sel = np.flatnonzero(np.isin(doc, some))
-                cos, t = best(np.searchsorted(some, doc[sel]), w.ids[sel], known, len(some), len(w.vocab))
-                better = cos > score[some]
-                score[some[better]], top[some[better]] = cos[better], t[better]
             found = score >= LEAST
             name = np.where(found, names[top], None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(name.tolist(), pa.string()), pa.array(np.where(found, score, 0.0)), pa.array(first)], names=["doc_id", "path", "license", "score", "first_line"])
