@@ -26,6 +26,18 @@ def test_surfaces(spark):
     assert set(got) <= set(words)
 
 
+def test_large_vocabularies_match_by_the_same_rule(spark, monkeypatch):
+    texts = [(1, "Of the one and the many in a world of things, O'Neill's U.S. view: eternal recurrence"), (2, "a.b c.d, .net x.net (.net) c++"), (3, "one two three four"), (3, "two three"), (4, None), (5, "Hume hume-like HUME\nof  mind of mind")]
+    surfaces = [("the one and the many in a world of things", "long", False), ("world of things", "inner", False), ("O'Neill", "n", True), ("u.s.", "us", False), ("recurrence", "r", False), ("eternal recurrence", "er", False), ("c.d", "cd", False), (".net", "net", False), ("c++", "cpp", False), ("one two", "a", False), ("two three four", "b", False), ("three", "c", False), ("four", "d", False), ("two three", "e", False), ("hume", "h", True), ("of mind", "m", None), ("Of Mind", "m2", False)]
+    texts = spark.createDataFrame(texts, "k int, t string")
+    surfaces = spark.createDataFrame(surfaces, "surface string, id string, cap boolean")
+    key = lambda df: sorted((r["k"], r["id"], r["first_pos"]) for r in df.collect())
+    small = key(vocab.mentions(texts, "k", "t", surfaces))
+    monkeypatch.setattr(vocab, "PATTERN_LIMIT", 3)
+    assert key(vocab.mentions(texts, "k", "t", surfaces)) == small
+    assert {"long", "n", "us", "er", "cd", "net", "cpp", "a", "c", "e", "h", "m", "m2"} <= {i for _, i, _ in small} and "inner" not in {i for _, i, _ in small}
+
+
 def test_df_cap(spark):
     tags = spark.createDataFrame([(w, "full") for w in range(80)] + [(w, "over") for w in range(81)], "w int, t string")
     assert {r["t"] for r in related.weighted(tags, "w", "t").select("t").distinct().collect()} == {"full"}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from textloom.functions import text as T
 
@@ -15,8 +17,10 @@ def mentions(texts: DataFrame, key: str, text: str, surfaces: DataFrame) -> Data
     """(key, id, first_pos): vocabulary nodes that a text names, in first-match order.
 
     surfaces: surface, id, cap. A surface with cap counts only if written with an
-    upper-case first letter. The pattern is built on the driver from at most
-    PATTERN_LIMIT surfaces.
+    upper-case first letter. Matches are leftmost, then longest, between word
+    boundaries, and don't overlap; first_pos is the match's number in the text. Up to
+    PATTERN_LIMIT surfaces are matched by a pattern built on the driver, more by a
+    join: the rule is the same.
     """
     rows = surfaces.select("surface").limit(PATTERN_LIMIT + 1).collect()
     if len(rows) > PATTERN_LIMIT:
@@ -25,23 +29,57 @@ def mentions(texts: DataFrame, key: str, text: str, surfaces: DataFrame) -> Data
     if pattern is None:
         return texts.select(key, F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("first_pos")).where("false")
     found = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(pattern), 1)).alias("pos", "found"))
-    known = F.broadcast(surfaces.select(F.lower("surface").alias("s"), "id", F.coalesce("cap", F.lit(False)).alias("cap")))
+    return _named(found, key, F.broadcast(_known(surfaces)))
+
+
+def _known(surfaces: DataFrame) -> DataFrame:
+    return surfaces.select(F.lower("surface").alias("s"), "id", F.coalesce("cap", F.lit(False)).alias("cap"))
+
+
+def _named(found: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The nodes of the matches (key, pos, found)."""
     hits = found.join(known, F.lower("found") == F.col("s")).where(~F.col("cap") | F.col("found").rlike(r"^\p{Lu}"))
     return hits.groupBy(key, "id").agg(F.min("pos").cast("long").alias("first_pos"))
 
 
-def mentions_by_words(texts: DataFrame, key: str, text: str, surfaces: DataFrame, longest: int = 6) -> DataFrame:
-    """The same by an equi-join of word n-grams with the surfaces, for large vocabularies.
+#: Runs of word characters, and every other character by itself.
+TOKEN = r"([\p{L}\p{N}_-]+|[^\p{L}\p{N}_-])"
 
-    Overlapping surfaces all count here, and surfaces have at most ``longest`` words.
+
+def mentions_by_words(texts: DataFrame, key: str, text: str, surfaces: DataFrame) -> DataFrame:
+    """The same for large vocabularies: an equi-join of token n-grams with the surfaces.
+
+    Texts and surfaces are cut into the same tokens, so any surface can match; n goes
+    over the surfaces' lengths. A text's matches are then taken from left to right.
     """
-    words = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_-]+)"), 1)
-    rows = texts.select(key, words.alias("w"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice("w", i, n), " ").alias("found")))))
-    found = rows.select(key, F.explode(grams).alias("g")).select(key, "g.*")
-    known = surfaces.select(F.lower("surface").alias("s"), "id", F.coalesce("cap", F.lit(False)).alias("cap"))
-    hits = found.join(known, F.lower("found") == F.col("s")).where(~F.col("cap") | F.col("found").rlike(r"^\p{Lu}"))
-    return hits.groupBy(key, "id").agg((F.min("pos") - 1).cast("long").alias("first_pos"))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(TOKEN), 1)
+    known = _known(surfaces.where(F.length("surface") > 0))
+    lens = sorted(r[0] for r in surfaces.where(F.length("surface") > 0).select(F.size(tokens(F.col("surface")))).distinct().collect())
+    rows = texts.withColumn("__row", F.monotonically_increasing_id()).select("__row", key, tokens(F.col(text)).alias("w"))
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, lens)).cast("array<int>")).alias("n")).where("size(w) >= n")
+    word = lambda c: F.coalesce(c.rlike(r"^[\p{L}\p{N}_-]"), F.lit(False))
+    w, n = F.col("w"), F.col("n")
+
+    def bounded(i: Column) -> Column:
+        """No word touches the n tokens from i."""
+        return ~word(F.get(w, i - 2)) & ~word(F.get(w, i + n - 1))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size("w") - n + 1), bounded)
+    grams = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice(w, i, n), "").alias("found")))
+    found = rows.select("__row", key, "n", F.explode(grams).alias("g")).select("__row", key, "n", "g.*")
+    found = found.join(known.select("s").distinct(), F.lower("found") == F.col("s"), "left_semi")
+    schema = StructType(texts.select(key).schema.fields).add("pos", LongType()).add("found", StringType())
+
+    def leftmost(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("at", "ascending"), ("n", "descending")])
+        take, end = [], 0
+        for i, (at, n) in enumerate(zip(t["at"].to_pylist(), t["n"].to_pylist(), strict=True)):
+            if at >= end:
+                take.append(i)
+                end = at + n
+        return pa.table([t[key].take(pa.array(take, pa.int64())), pa.array(range(len(take)), pa.int64()), t["found"].take(pa.array(take, pa.int64()))], names=[key, "pos", "found"])
+
+    return _named(found.groupBy("__row").applyInArrow(leftmost, schema), key, known)
 
 
 WIKILINK = r"\[\[([^\]|#]+)(?:\|([^\]]+))?\]\]"
