@@ -437,6 +437,19 @@ def test_near_dup_null_id_and_clashing_columns(odd):
     assert near_dup.deduplicated(odd).columns == ["doc_id", "text", "source", "n", "rep"]
 
 
+def test_near_dup_rows_of_one_id_and_a_large_group(spark, monkeypatch):
+    """Rows of one id are one document; a pivot's members are dealt in parts; exact repeats go once."""
+    monkeypatch.setattr(near_dup, "PART", 20)
+    base = [f"w{i}" for i in range(120)]
+    text = lambda i: " ".join([*base[:60], f"x{i}", *base[61:]])
+    rows = [(i, text(i)) for i in range(10, 130)] + [(5, "a b c d e"), (5, text(500)), (6, "A B C D E"), (7, "q r s t u v"), (7, "q r s t u v"), (8, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, node string, member int")
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_dup.linked(df).collect()}
+    assert got == {**{(i, 118): (5, False) for i in range(10, 130)}, (5, 3): (5, True), (5, 118): (5, True), (6, 3): (5, False), (7, 4): (7, True), (8, 0): (8, True)}
+    one = near_dup.deduplicated(df)
+    assert one.columns == df.columns and sorted(r["doc_id"] for r in one.collect()) == [5, 7, 8]
+
+
 def test_likelihood_estimates():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.6, 0.9):
@@ -452,8 +465,9 @@ def test_likelihood_estimates():
 
 def test_components(spark):
     chain = [(i, i + 1) for i in range(1, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "u long, v long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 160)}}
+    for part in (components.PART, 30):
+        got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(chain, "u long, v long"), part=part).collect()}
+        assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 160)}}
 
 
 # -- 10 --------------------------------------------------------------------

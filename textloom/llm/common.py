@@ -7,6 +7,7 @@ Arrow batch at once: no per-document Python loop touches the text.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 IS_WORD = np.ones(256, dtype=bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -26,6 +28,8 @@ IS_HEAD = (np.arange(256) & 0xC0) != 0x80
 
 #: Text bytes handled at once by the vectorised operators; bounds a worker's memory.
 BATCH_BYTES = 4 << 20
+#: Most rows of a table that is broadcast; rows are a few numbers each.
+MAX_BROADCAST = 1_000_000
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_KEY = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +52,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder of spark.checkpoint.dir; where it is unset, a local one if all runs on this machine."""
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
@@ -57,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf:
         import tempfile
 
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+
         conf = tempfile.mkdtemp(prefix="textloom-checkpoints-")
     sc.setCheckpointDir(conf)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -68,6 +75,24 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few(df: DataFrame, limit: int = MAX_BROADCAST) -> DataFrame:
+    """``df``, marked for a broadcast if it has no more rows than ``limit``; larger ones are joined by a shuffle.
+
+    The rows are counted, so ``df`` should be a checkpoint or as cheap.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def free(spark: SparkSession) -> None:
+    """Let go of the shuffle files of phases that a checkpoint has replaced.
+
+    Spark deletes them when the driver collects the plans that made them, which may be
+    long after the phase; a large job would hold all its phases' files until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes (the public splitmix64 finaliser)."""
     h = h.astype(np.uint64, copy=True)

@@ -13,8 +13,9 @@ Groups of copies never give all pairs:
 * equal sets are one class, compared once through its representative;
 * in a bucket each member meets only the bucket's two pivots, its least member and
   its most central one, which shares most buckets with others (the text that a
-  group's copies were made from, if it is there); members that end in one
-  component need no further test;
+  group's copies were made from, if it is there); it meets the pivot that it shares
+  most buckets with first, and members that are then in one component need no
+  further test;
 * members of buckets that still hold several components are joined by prefixes of
   their sets: shingles are put in one order, rare ones first, and a link must share
   a shingle among the first n - ceil(percent n / 100) + 1 of both, and after the first one
@@ -23,9 +24,12 @@ Groups of copies never give all pairs:
 So no link is lost but by the bands: at the threshold a pair shares none with
 probability below ``MISS``, (1 - 0.85**6)**36 at 85 % and (1 - 0.8**5)**43 at 80 %.
 
+Only the texts of classes that share a bucket leave the tasks that read them.
+
 Defined cases: null or blank text is an empty set, linked with nothing; rows of
-one doc_id count as one document; a null doc_id has a null component and is kept;
-an empty table gives no rows; other columns are ignored.
+one doc_id are one document: they are linked, and each row shows its own set's
+size; of these, ``deduplicated`` keeps one; a null doc_id has a null component and
+is kept; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,8 +52,8 @@ REGISTERS = 216
 #: Greatest probability that a pair at the threshold shares no band.
 MISS = 1e-7
 BASE, RATE = 1.001, 20.0
-#: Most buckets with several members that are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
+#: Members of a pivot that are tested in one task's turn.
+PART = 1000
 #: Counters of the table that orders shingles by rarity; any order is right.
 RARITY_BITS = 20
 #: Natural-log likelihood ratio beyond which a similarity is ruled out (chance of error about exp(-20)).
@@ -164,15 +168,19 @@ def estimate(nu: np.ndarray, nv: np.ndarray, ru: np.ndarray, rv: np.ndarray, flo
     return best, (best < floor) & (gap > RULED_OUT)
 
 
+def set_hashes(s: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each whole set."""
+    with np.errstate(over="ignore"):
+        return C.seg_reduce(np.add, s, off, 0), C.seg_reduce(np.add, C.mix(s ^ _WINDOW[4]), off, 0)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, rule: Rule = Rule()) -> DataFrame:
     """doc_id, n, two hashes of the whole set, registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text"):
             s, off = shingles(*C.text_bytes(b.column(1)), rule.shingle)
-            with np.errstate(over="ignore"):
-                one = C.seg_reduce(np.add, s, off, 0)
-                two = C.seg_reduce(np.add, C.mix(s ^ _WINDOW[4]), off, 0)
+            one, two = set_hashes(s, off)
             reg = registers(s, off)
             raw = C.binary_array(reg.view(np.uint8).ravel(), np.full(len(reg), 2 * REGISTERS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(C.signed(one)), pa.array(C.signed(two)), raw], names=["doc_id", "n", "h1", "h2", "reg"])
@@ -190,94 +198,158 @@ def _bands(classes: DataFrame, rule: Rule) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 h = band_hashes(_regs(b.column(1)), rule)
-                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(np.repeat(b.column(0).to_numpy(), rule.bands))], names=["bucket", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(np.repeat(b.column(0).to_numpy(), rule.bands))], names=["bucket", "node"])
 
-    return classes.select("rep", "reg").mapInArrow(run, "bucket long, rep long")
+    return classes.select("node", "reg").mapInArrow(run, "bucket long, node long")
 
 
-def _test(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, inter, uni) of the pairs that the joint likelihood doesn't rule out, from their full sets."""
-    one = classes.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
-    two = classes.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
+def _members(bands: DataFrame) -> DataFrame:
+    """(bucket, node, low, center, size): rows of buckets with several members, and the bucket's pivots."""
+    shared = C.checkpoint(bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("size")).where("low <> high").drop("high"))
+    rows = C.checkpoint(bands.join(C.few(shared), "bucket"))
+    # how many members a class meets in all its buckets
+    degree = rows.groupBy("node").agg(F.sum("size").alias("degree"))
+    center = rows.where("size > 2").join(degree, "node").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("first"))).alias("c"))
+    center = center.select("bucket", (-F.col("c.first")).alias("center"))
+    return C.checkpoint(rows.join(center, "bucket", "left").select("bucket", "node", "low", F.coalesce("center", "low").alias("center"), "size"))
 
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                n1, n2 = b.column(2).to_numpy().astype(float), b.column(4).to_numpy().astype(float)
-                _, out = estimate(n1, n2, _regs(b.column(3)), _regs(b.column(5)), rule.percent / 100)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(~out))
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, "ta"):
-            sa, oa = shingles(*C.text_bytes(b.column(2)), rule.shingle)
-            sb, ob = shingles(*C.text_bytes(b.column(3)), rule.shingle)
-            pair = np.concatenate((np.repeat(np.arange(b.num_rows), np.diff(oa)), np.repeat(np.arange(b.num_rows), np.diff(ob))))
-            s = np.concatenate((sa, sb))
+
+def _pivot_pairs(bands: DataFrame) -> DataFrame:
+    """(member, pivot, shared): each pair of a member and a pivot once, with the number of buckets they share."""
+    pairs = bands.select("node", F.explode(F.array_distinct(F.array("low", "center"))).alias("pivot")).where("node <> pivot")
+    pairs = pairs.groupBy(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).agg(F.max("pivot").alias("pivot"), F.count("*").alias("shared"))
+    return pairs.select((F.col("a") + F.col("b") - F.col("pivot")).alias("member"), "pivot", "shared")
+
+
+def _candidates(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: str, text_col: str, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """(node, n, reg) and (node, text) of the classes in ``nodes``; no other text leaves its task."""
+    own = C.checkpoint(classes.join(C.few(nodes), "node", "left_semi"))
+    keys = C.few(own.select("node", "rep", "h1", "h2"))
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(keys.select("rep"), "rep", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.uint64)
+        for b in C.slices(batches, "text"):
+            s, off = shingles(*C.text_bytes(b.column(1)), rule.shingle)
+            one, two = set_hashes(s, off)
+            _, first = np.unique(one, return_index=True)
+            first = first[~np.isin(one[first], seen)]  # repeated rows go once
+            seen = np.concatenate((seen, one[first]))
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(one[first])), pa.array(C.signed(two[first])), b.column(1).take(pa.array(first))], names=["h1", "h2", "text"])
+
+    found = rows.mapInArrow(run, "h1 long, h2 long, text string").join(keys, ["h1", "h2"]).select("node", "text")
+    return own.select("node", "n", "reg"), C.checkpoint(found)
+
+
+def _test(pairs: DataFrame, own: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, inter, uni) of the pairs (member, pivot) that the joint likelihood doesn't rule out, from their full sets.
+
+    A pivot goes once to each part of its members, sorted before them, so neither it nor
+    its members meet in one task, and its text is not copied for each pair.
+    """
+    pairs = pairs.select("member", "pivot")
+    large = C.checkpoint(pairs.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") > PART).select("pivot", F.ceil(F.col("n") / PART).alias("parts")))
+    part = F.coalesce(F.pmod(F.xxhash64("member"), "parts"), F.lit(0)).alias("part")
+    pairs = C.checkpoint(pairs.join(C.few(large), "pivot", "left").select("member", "pivot", part))
+    every = own.join(texts, "node")
+    members = pairs.join(every, F.col("member") == F.col("node")).select("pivot", "part", "node", "n", "reg", "text")
+    heads = pairs.select("pivot", "part").distinct().join(every, F.col("pivot") == F.col("node")).select("pivot", "part", F.lit(None).cast("long").alias("node"), "n", "reg", "text")
+    rows = heads.union(members).repartition("pivot", "part").sortWithinPartitions("pivot", "part", F.col("node").asc_nulls_first())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last head, whose members may go on
+        for b in C.slices(batches, "text", C.BATCH_BYTES // 2):
+            b = pa.Table.from_batches([*held, b]).combine_chunks().to_batches()[0]
+            pivot, part, n = (b.column(k).to_numpy() for k in (0, 1, 3))
+            head = b.column(2).is_null().to_numpy(zero_copy_only=False)
+            node = b.column(2).fill_null(0).to_numpy()
+            of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
+            held = [b.slice(of[-1], 1)]
+            again = np.append(False, (node[1:] == node[:-1]) & (pivot[1:] == pivot[:-1]) & (part[1:] == part[:-1]) & ~head[:-1])
+            i = np.flatnonzero(~head & ~again)
+            j = of[i]
+            fits = 100 * np.minimum(n[i], n[j]) >= rule.percent * np.maximum(n[i], n[j])
+            i, j = i[fits], j[fits]
+            reg = _regs(b.column(4))
+            _, out = estimate(n[i].astype(float), n[j].astype(float), reg[i], reg[j], rule.percent / 100)
+            i, j = i[~out], j[~out]
+            if not len(i):
+                continue
+            used, at = np.unique(np.append(i, j), return_inverse=True)
+            s, off = shingles(*C.text_bytes(b.column(5).take(pa.array(used))), rule.shingle)
+            size = np.diff(off)
+            pair = np.repeat(np.append(np.arange(len(i)), np.arange(len(i))), size[at])
+            s = s[C.ragged(off[at], size[at])]
             o = np.lexsort((s, pair))
             s, pair = s[o], pair[o]
-            both = np.bincount(pair[1:][(s[1:] == s[:-1]) & (pair[1:] == pair[:-1])], minlength=b.num_rows)
-            uni = np.diff(oa) + np.diff(ob) - both
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both), pa.array(uni)], names=["a", "b", "inter", "uni"])
+            both = np.bincount(pair[1:][(s[1:] == s[:-1]) & (pair[1:] == pair[:-1])], minlength=len(i))
+            uni = size[at[: len(i)]] + size[at[len(i) :]] - both
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], pivot[i])), pa.array(np.maximum(node[i], pivot[i])), pa.array(both), pa.array(uni)], names=["a", "b", "inter", "uni"])
 
-    pairs = pairs.join(one, "a").join(two, "b").where(100 * F.least("na", "nb") >= rule.percent * F.greatest("na", "nb")).select("a", "b", "na", "ra", "nb", "rb")
-    close = C.checkpoint(pairs.mapInArrow(likely, "a long, b long"))
-    need = close.select(F.col("a").alias("rep")).union(close.select("b")).distinct()
-    need = texts.join(need, "rep", "left_semi")
-    full = close.join(need.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(need.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-    return C.checkpoint(full.select("a", "b", "ta", "tb").mapInArrow(confirm, "a long, b long, inter long, uni long"))
+    return C.checkpoint(rows.mapInArrow(run, "a long, b long, inter long, uni long"))
 
 
 def _links(tested: DataFrame, rule: Rule) -> DataFrame:
     return tested.where(100 * F.col("inter") >= rule.percent * F.col("uni")).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
+def _apart(pairs: DataFrame, label: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs whose ends aren't in one component yet."""
+    for end in (a, b):
+        pairs = pairs.join(label.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    return pairs.where(F.coalesce(f"of_{a}", a) != F.coalesce(f"of_{b}", b)).drop(f"of_{a}", f"of_{b}")
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
-    rule = Rule(shingle, percent)
+    spark, rule = docs.sparkSession, Rule(shingle, percent)
     own = C.checkpoint(sketches(docs, id_col, text_col, rule))
     some = own.where("n > 0 and doc_id is not null")
-    classes = C.checkpoint(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg")))
-    bands = C.checkpoint(_members(_bands(classes, rule)))
-    # texts of the representatives; rows of one id count as one document, so the first by hash is as good as any
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).where("rep is not null")
-
-    tested = _test(_pivot_pairs(bands), classes, texts, rule)
-    links = _links(tested, rule)
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg"))
+    classes = C.checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    of = own.select("doc_id", "n", "h1", "h2").join(classes.select("h1", "h2", "node", "rep"), ["h1", "h2"], "left").select("doc_id", "n", "node", "rep")
+    of = C.checkpoint(of.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))))
+    bands = _members(_bands(classes, rule))
+    sketch, texts = _candidates(docs, classes, bands.select("node").distinct(), id_col, text_col, rule)
+    C.free(spark)
+
+    # rows of one id are one document
+    several = C.checkpoint(of.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u <> v").select("doc_id", "u"))
+    links = C.checkpoint(of.join(C.few(several), "doc_id").where("node <> u").select("u", F.col("node").alias("v")).distinct())
+    pairs = C.checkpoint(_pivot_pairs(bands))
+    # each class meets the pivot that it shares most buckets with; then the others, unless they have come together
+    first = pairs.groupBy("member").agg(F.max(F.struct("shared", "pivot")).alias("most")).select("member", F.col("most.pivot").alias("pivot"))
+    tested = _test(first, sketch, texts, rule)
+    links = links.union(_links(tested, rule))
     label = components(links)
-    left = _undecided(bands, label, tested, texts, rule)
-    if not left.isEmpty():
-        links = links.union(_links(_test(left, classes, texts, rule), rule))
-        label = components(links)
-    named = classes.select("h1", "h2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
-    out = own.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
-    # an empty set stands alone: its hashes are zero and no class has them
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _members(bands: DataFrame) -> DataFrame:
-    """(bucket, rep, low, center): rows of buckets with several members, and the bucket's pivots."""
-    shared = C.checkpoint(bands.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("size")).where("low <> high").drop("high"))
-    rows = C.checkpoint(bands.join(F.broadcast(shared) if shared.count() <= MAX_BROADCAST else shared, "bucket"))
-    # how many members a representative meets in all its buckets
-    degree = rows.groupBy("rep").agg(F.sum("size").alias("degree"))
-    center = rows.where("size > 2").join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("first"))).alias("c"))
-    center = center.select("bucket", (-F.col("c.first")).alias("center"))
-    return rows.join(center, "bucket", "left").select("bucket", "rep", "low", F.coalesce("center", "low").alias("center"), "size")
-
-
-def _pivot_pairs(bands: DataFrame) -> DataFrame:
-    meet = F.explode(F.array_distinct(F.array("low", "center"))).alias("pivot")
-    pairs = bands.select("rep", meet).where("rep <> pivot")
-    return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-
-
-def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs in different components, of members of undecided buckets, whose prefixes meet (checkpointed)."""
-    rows = bands.where("size > 2").select("bucket", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    rows = C.checkpoint(rows)
+    pairs = pairs.select(F.least("member", "pivot").alias("a"), F.greatest("member", "pivot").alias("b"), "member", "pivot").join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    pairs = C.checkpoint(_apart(pairs, label, "member", "pivot"))
+    C.free(spark)
+    for more in (lambda: pairs, lambda: _undecided(bands, label, tested, sketch, texts, rule)):
+        left = more()
+        if left is not None and not left.isEmpty():
+            now = _test(left, sketch, texts, rule)
+            tested = tested.union(now)
+            if not (new := _links(now, rule)).isEmpty():
+                links = links.union(new)
+                label = components(links)
+    # the least id of each component
+    reps = classes.select("node", "rep").join(label, "node")
+    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = label.join(least, "component").select("node", "component_id")
+    out = of.join(named, "node", "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, sketch: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame | None:
+    """Pairs in different components, of members of undecided buckets, whose prefixes meet (checkpointed); None without such buckets."""
+    rows = bands.where("size > 2").select("bucket", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    left = C.checkpoint(rows.join(mixed, "bucket").select("rep", "component").distinct())
-    own = texts.join(left, "rep").select("rep", "component", "text")
+    left = C.checkpoint(rows.join(mixed, "bucket").select("node", "component").distinct())
+    if left.isEmpty():
+        return None
+    own = C.checkpoint(texts.join(C.few(left), "node").select("node", "component", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << RARITY_BITS, np.int64)
@@ -287,7 +359,6 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: Dat
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    own = C.checkpoint(own)
     got = own.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2**RARITY_BITS rows
     table = np.zeros(1 << RARITY_BITS, np.int64)
     table[got["at"].to_numpy()] = got["n"].to_numpy()
@@ -303,24 +374,33 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, texts: Dat
             length = n - -(-rule.percent * n // 100) + (n > 0)
             at = C.ragged(off[:-1], length)
             doc = doc[o][at]
-            yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc]), pa.array(C.ragged(np.zeros(len(n), np.int64), length))], names=["shingle", "rep", "component", "n", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc]), pa.array(C.ragged(np.zeros(len(n), np.int64), length))], names=["shingle", "node", "component", "n", "at"])
 
-    pre = own.mapInArrow(prefixes, "shingle long, rep long, component long, n long, at long")
+    pre = own.mapInArrow(prefixes, "shingle long, node long, component long, n long, at long")
     # shingles of one document or component only can't decide anything
     meet = pre.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     one = C.checkpoint(pre.join(meet, "shingle"))
-    two = one.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("rep", "component", "n", "at")))
-    on = (F.col("rep") < F.col("rep_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= rule.percent * F.greatest("n", "n_2"))
+    two = one.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("node", "component", "n", "at")))
+    on = (F.col("node") < F.col("node_2")) & (F.col("component") != F.col("component_2")) & (100 * F.least("n", "n_2") >= rule.percent * F.greatest("n", "n_2"))
     # if this is the first shared shingle, no more than what follows it is shared; true of every link's first
     on &= (100 + rule.percent) * F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= rule.percent * (F.col("n") + F.col("n_2"))
-    pairs = one.join(two, (one["shingle"] == two["shingle"]) & on).select(F.col("rep").alias("a"), F.col("rep_2").alias("b")).distinct()
-    return C.checkpoint(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = one.join(two, (one["shingle"] == two["shingle"]) & on).select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    return C.checkpoint(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti").select(F.col("a").alias("member"), F.col("b").alias("pivot")))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    kept = linked(docs, id_col, text_col, shingle, percent).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents that stay, one of each component, with all their columns; of rows with one id, one.
+
+    Only ids of documents that go are looked for, so texts don't move where these are few.
+    """
+    rows = C.checkpoint(linked(docs, id_col, text_col, shingle, percent))
+    go = C.checkpoint(rows.where("not kept").select(F.col("doc_id").alias(id_col)).distinct())
+    again = C.checkpoint(rows.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(id_col)))
+    stay = docs.join(C.few(go), id_col, "left_anti")
+    if again.isEmpty():
+        return stay
+    again = C.few(again)
+    return stay.join(again, id_col, "left_anti").unionByName(stay.join(again, id_col, "left_semi").dropDuplicates([id_col]))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
