@@ -14,7 +14,8 @@ send their distinct words and n-grams, with training counts, to buckets by hash;
 the number of buckets follows the size of the texts.  A trigram goes where its
 context goes, so a bucket has all the counts of its contexts.  Buckets sum the
 counts and answer each chunk that asked, in the order of its question; the chunk
-then has all it needs to score its texts.
+then has all it needs to score its texts.  The buckets are served in ``ROUNDS``
+rounds, each ended by a checkpoint of its answers, so disks hold one round's questions.
 
 ``learn`` gives the same model as an automaton in one process, for small corpora:
 kept contexts are states; an arc (state, word) carries the log-probability and
@@ -34,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,16 +45,25 @@ from textloom.llm import common as C
 LEAST = 2
 #: Text bytes of a chunk; characters of text for each bucket, and fewest buckets.
 CHUNK, PER_BUCKET, MIN_BUCKETS = 8 << 20, 8 << 20, 256
+#: Rounds in which n-grams are exchanged; the files of one round are on disk at a time.
+ROUNDS = 2
 DISCOUNT = 0.5
 #: Tokens of a window in scoring.
 WINDOW = 256
 END = int(C.signed(C.hash_binary(pa.array([b"\x00end"], pa.binary())))[0])
 
 
+def coded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes (as long) of the distinct words and END, their numbers in each text, which ends with END, and the texts' offsets."""
+    w = C.Words(C.LOWER[data], off)
+    words, at = np.unique(np.append(C.signed(C.hash_binary(w.vocab)), END), return_inverse=True)
+    return words, np.insert(at[w.ids], w.offsets[1:], at[-1]), w.offsets + np.arange(len(off))
+
+
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes (as long) of each text and its end token, and the texts' offsets."""
-    w = C.Words(C.LOWER[data], off)
-    return np.insert(C.signed(w.hashes()), w.offsets[1:], END), w.offsets + np.arange(len(off))
+    words, ids, off = coded(data, off)
+    return words[ids], off
 
 
 def _grams(h: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -90,11 +101,10 @@ class Chunk:
     context is a bigram's index, or -1 at a text's first token, whose history is END alone.
     """
 
-    def __init__(self, h: np.ndarray, off: np.ndarray) -> None:
-        self.off = off
-        self.words, ids = np.unique(np.append(h, END), return_inverse=True)
-        n, end, self.word_of = len(self.words), ids[-1], ids[:-1]
-        start = off[:-1]
+    def __init__(self, data: np.ndarray, off: np.ndarray) -> None:
+        self.words, self.word_of, self.off = coded(data, off)
+        n, end = len(self.words), int(np.searchsorted(self.words, END))
+        start = self.off[:-1]
         prev = np.empty_like(self.word_of)
         prev[1:] = self.word_of[:-1]
         prev[start] = end
@@ -130,15 +140,19 @@ def _word_bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _pack(values: np.ndarray, off: np.ndarray) -> pa.Array:
-    """values[off[i]:off[i + 1]] as the bytes of row i."""
-    off = (np.asarray(off) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))])
+    """values[off[i]:off[i + 1]] in row i: their first bytes, then their second bytes and so on, compressed."""
+    out = zstandard.ZstdCompressor(level=1)
+    flat = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)
+    off = np.asarray(off).tolist()
+    return pa.array([out.compress(flat[i:j].T.tobytes()) for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())
 
 
 def _unpack(col: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """All rows' values one after the other, and the rows' offsets."""
-    data, off = C.text_bytes(col)
-    return np.frombuffer(data.tobytes(), kind), off // np.dtype(kind).itemsize
+    back, size = zstandard.ZstdDecompressor(), np.dtype(kind).itemsize
+    rows = [np.frombuffer(back.decompress(x), np.uint8).reshape(size, -1).T for x in col.to_pylist()]
+    flat = np.concatenate(rows) if rows else np.zeros((0, size), np.uint8)
+    return np.ascontiguousarray(flat).reshape(-1).view(kind), np.append(0, np.cumsum([len(x) for x in rows], dtype=np.int64))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -156,17 +170,23 @@ def _trained(b: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
     return np.repeat(~b.column(2).to_numpy(zero_copy_only=False), np.diff(off))
 
 
-def _ask_grams(rows: DataFrame, buckets: int) -> DataFrame:
+def _ask_grams(rows: DataFrame, buckets: int, turn: int) -> DataFrame:
+    """The questions to the buckets of one round."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, b in _chunks(batches):
-            h, off = tokens(*C.text_bytes(b.column(1)))
-            c, train = Chunk(h, off), _trained(b, off)
+            c = Chunk(*C.text_bytes(b.column(1)))
+            train = _trained(b, c.off)
             two, three, at2, at3 = c.gram_order(buckets)
+            mine = np.arange(buckets) % ROUNDS == turn
+            size2, size3 = np.diff(at2), np.diff(at3)
+            two, three = two[np.repeat(mine, size2)], three[np.repeat(mine, size3)]
+            at2, at3 = np.append(0, np.cumsum(size2[mine])), np.append(0, np.cumsum(size3[mine]))
             n2 = np.bincount(c.bi_of[train], minlength=len(c.bi)).astype(np.int32)
             n3 = np.bincount(c.tri_of[train], minlength=len(c.tri)).astype(np.int32)
             follow = np.bincount(c.context[c.real], minlength=len(c.bi)).astype(np.int32)
             cols = [_pack(c.words[c.w1[two]], at2), _pack(c.words[c.w2[two]], at2), _pack(n2[two], at2), _pack(follow[two], at2), _pack(c.words[c.w3[three]], at3), _pack(n3[three], at3)]
-            got = pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(np.full(buckets, chunk)), *cols], names=["bucket", "chunk", "w1", "w2", "n2", "follow", "w3", "n3"])
+            got = pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(mine)), pa.array(np.full(mine.sum(), chunk)), *cols], names=["bucket", "chunk", "w1", "w2", "n2", "follow", "w3", "n3"])
             yield got.filter(pa.array(np.diff(at2) > 0))
 
     return rows.mapInArrow(run, "bucket long, chunk long, w1 binary, w2 binary, n2 binary, follow binary, w3 binary, n3 binary")
@@ -175,9 +195,8 @@ def _ask_grams(rows: DataFrame, buckets: int) -> DataFrame:
 def _ask_words(rows: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, b in _chunks(batches):
-            h, off = tokens(*C.text_bytes(b.column(1)))
-            words, ids = np.unique(np.append(h, END), return_inverse=True)
-            n = np.bincount(ids[:-1][_trained(b, off)], minlength=len(words)).astype(np.int32)
+            words, ids, off = coded(*C.text_bytes(b.column(1)))
+            n = np.bincount(ids[_trained(b, off)], minlength=len(words)).astype(np.int32)
             at = _word_bucket(words, buckets)
             order = np.argsort(at, kind="stable")
             at = np.searchsorted(at[order], np.arange(buckets + 1))
@@ -397,7 +416,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = _training(docs, id_col, text_col)
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(MIN_BUCKETS, -(-size // PER_BUCKET))
-    grams = C.checkpoint(_sum_grams(_ask_grams(rows, buckets), buckets))
+    grams = rows.sparkSession.createDataFrame([], ANSWER)
+    for turn in range(ROUNDS):
+        grams = grams.unionByName(C.checkpoint(_sum_grams(_ask_grams(rows, buckets, turn), buckets)))
+        C.free(rows.sparkSession)
     words = C.checkpoint(_sum_words(_ask_words(rows, buckets), grams.where("kind = 0").select("bucket", "a", "b")))
     totals = words.where("kind = 0").select("a").toArrow()  # a row for each bucket
     n, v = (int(x) for x in _unpack(totals["a"], np.int64)[0].reshape(-1, 2).sum(0)) if totals.num_rows else (0, 0)
@@ -408,10 +430,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, chunk)), *b.columns], names=["chunk", "doc_id", "text", "held_out"])
 
     def run(t: pa.Table, got: pa.Table) -> pa.Table:
-        h, off = tokens(*C.text_bytes(t["text"]))
-        c = Chunk(h, off)
-        two, three, at2, at3 = c.gram_order(buckets)
-        order, at = c.word_order(buckets)
+        c = Chunk(*C.text_bytes(t["text"]))
+        off = c.off
+        two, three, _, _ = c.gram_order(buckets)
+        order, _ = c.word_order(buckets)
         got = got.sort_by("bucket")
         kind = got["kind"].to_numpy()
         of_grams, of_words = got.filter(pa.array(kind == 2)), got.filter(pa.array(kind == 1))

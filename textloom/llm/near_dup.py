@@ -335,8 +335,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
                 label = components(links)
     # the least id of each component
     reps = classes.select("node", "rep").join(label, "node")
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = label.join(least, "component").select("node", "component_id")
+    least = C.checkpoint(reps.groupBy("component").agg(F.min("rep").alias("component_id")))
+    named = label.join(C.few(least), "component").select("node", "component_id")
     out = of.join(named, "node", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "rep"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
