@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import os
+import time
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -89,8 +90,10 @@ def free(spark: SparkSession) -> None:
     Spark deletes them when the driver collects the plans that made them, which may be
     long after the phase; a large job would hold all its phases' files until then.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # first the driver's Python lets go of plans, then its JVM of their shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -170,23 +170,48 @@ def _trained(b: pa.RecordBatch, off: np.ndarray) -> np.ndarray:
     return np.repeat(~b.column(2).to_numpy(zero_copy_only=False), np.diff(off))
 
 
+def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number of each place's value."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(key)]
+    of = np.empty(len(key), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], of
+
+
 def _ask_grams(rows: DataFrame, buckets: int, turn: int) -> DataFrame:
-    """The questions to the buckets of one round."""
+    """The questions to the buckets of one round, in the order of ``Chunk.gram_order``; other n-grams aren't sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = np.flatnonzero(np.arange(buckets) % ROUNDS == turn)
         for chunk, b in _chunks(batches):
-            c = Chunk(*C.text_bytes(b.column(1)))
-            train = _trained(b, c.off)
-            two, three, at2, at3 = c.gram_order(buckets)
-            mine = np.arange(buckets) % ROUNDS == turn
-            size2, size3 = np.diff(at2), np.diff(at3)
-            two, three = two[np.repeat(mine, size2)], three[np.repeat(mine, size3)]
-            at2, at3 = np.append(0, np.cumsum(size2[mine])), np.append(0, np.cumsum(size3[mine]))
-            n2 = np.bincount(c.bi_of[train], minlength=len(c.bi)).astype(np.int32)
-            n3 = np.bincount(c.tri_of[train], minlength=len(c.tri)).astype(np.int32)
-            follow = np.bincount(c.context[c.real], minlength=len(c.bi)).astype(np.int32)
-            cols = [_pack(c.words[c.w1[two]], at2), _pack(c.words[c.w2[two]], at2), _pack(n2[two], at2), _pack(follow[two], at2), _pack(c.words[c.w3[three]], at3), _pack(n3[three], at3)]
-            got = pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(mine)), pa.array(np.full(mine.sum(), chunk)), *cols], names=["bucket", "chunk", "w1", "w2", "n2", "follow", "w3", "n3"])
+            words, ids, off = coded(*C.text_bytes(b.column(1)))
+            n, start, train = len(words), off[:-1], _trained(b, off)
+            prev = np.empty_like(ids)
+            prev[1:] = ids[:-1]
+            prev[start] = np.searchsorted(words, END)
+            to = (_gram_hash(np.zeros(len(ids), np.int64), words[prev], words[ids]) % np.uint64(buckets)).astype(np.int64)
+            here = to % ROUNDS == turn
+            sel = np.flatnonzero(here)
+            bi, one, of2 = _groups(prev[sel] * n + ids[sel])
+            n2 = np.bincount(of2[train[sel]], minlength=len(bi)).astype(np.int32)
+            # a trigram goes with the bigram before its last word
+            follows = np.append(here, False)[: len(here)]
+            follows[1:], follows[:1] = here[:-1], False
+            follows[start] = False
+            after = np.flatnonzero(follows)
+            context = np.zeros(len(ids), np.int64)
+            context[sel] = of2
+            tri, _, of3 = _groups(context[after - 1] * n + ids[after])
+            n3 = np.bincount(of3[train[after]], minlength=len(tri)).astype(np.int32)
+            of = tri // n
+            follow = np.bincount(of, minlength=len(bi)).astype(np.int32)
+            to = to[sel[one]]
+            two, three = np.argsort(to, kind="stable"), np.argsort(to[of], kind="stable")
+            at2, at3 = (np.append(0, np.cumsum(np.bincount(x, minlength=buckets)[mine])) for x in (to, to[of]))
+            cols = [_pack(words[bi[two] // n], at2), _pack(words[bi[two] % n], at2), _pack(n2[two], at2), _pack(follow[two], at2), _pack(words[tri[three] % n], at3), _pack(n3[three], at3)]
+            got = pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.full(len(mine), chunk)), *cols], names=["bucket", "chunk", "w1", "w2", "n2", "follow", "w3", "n3"])
             yield got.filter(pa.array(np.diff(at2) > 0))
 
     return rows.mapInArrow(run, "bucket long, chunk long, w1 binary, w2 binary, n2 binary, follow binary, w3 binary, n3 binary")
@@ -221,11 +246,11 @@ def _sum_grams(asked: DataFrame, buckets: int) -> DataFrame:
         (w1, at2), (w2, _), (n2, _), (follow, _) = (_unpack(t[c], k) for c, k in (("w1", np.int64), ("w2", np.int64), ("n2", np.int32), ("follow", np.int32)))
         (w3, at3), (n3, _) = _unpack(t["w3"], np.int64), _unpack(t["n3"], np.int32)
         key = _gram_hash(np.zeros(len(w1), np.int64), w1, w2)
-        key, first, of2 = np.unique(key, return_index=True, return_inverse=True)
+        key, first, of2 = _groups(key)
         c2 = np.bincount(of2, n2, len(key))
         c2[c2 < LEAST] = 0
         context = np.repeat(of2, follow)
-        _, one, of3 = np.unique(_gram_hash(key.view(np.int64)[context], np.ones(len(w3), np.int64), w3), return_index=True, return_inverse=True)
+        _, one, of3 = _groups(_gram_hash(key.view(np.int64)[context], np.ones(len(w3), np.int64), w3))
         c3 = np.bincount(of3, n3, len(one))
         c3[c3 < LEAST] = 0
         mass = np.bincount(context[one], np.where(c3 > 0, c3 - DISCOUNT, 0), len(key))
