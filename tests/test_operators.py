@@ -197,3 +197,41 @@ def test_entry_imports():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert "tfidf_topk" in e.queries()
+
+
+def test_long_chains_and_cycles(spark):
+    """Frontiers have no depth limit, visit a node once and end in cycles."""
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(30, 20), (3, 3), (5, 7)], "src long, dst long")
+    roots = spark.createDataFrame([(0,), (29,)], "r long")
+    got = {(r["root"], r["node"]) for r in graph.closure(chain, roots).collect()}
+    assert got == {(0, i) for i in range(31)} | {(29, i) for i in range(20, 31)}
+    cycles = {r["node"]: r["cycle"] for r in graph.cycles(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "a"), ("b", "a")], "src string, dst string")).collect()}
+    assert cycles == {"a": "a>b>a", "b": "b>a>b", "c": "c>a>b>c", "d": "d>d"}
+
+
+def test_rows_without_a_bag_never_match(spark):
+    rows = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    bag = spark.createDataFrame([(1, "the tree"), (2, None)], "k int, words string")
+    assert [r["k"] for r in facets.content_matches(rows, bag, "k", "the re", phrase=False).collect()] == [1]
+
+
+def test_tag_frequency_cap(spark):
+    tags = spark.createDataFrame([(w, "common") for w in range(81)] + [(w, "known") for w in range(80)], "work int, tag string")
+    assert {r["tag"] for r in related.weighted(tags, "work", "tag").select("tag").distinct().collect()} == {"known"}
+
+
+def test_postings_come_in_blocks(spark):
+    pairs = spark.createDataFrame([("t", i) for i in (9, 1, 1, 12)], "term string, k long")
+    got = {(r["block"], tuple(r["keys"])) for r in tfidf.postings(pairs, "term", "k", size=10).collect()}
+    assert got == {(0, (1, 9)), (1, (12,))}
+
+
+def test_header_slices_of_deep_levels(spark):
+    heads = spark.createDataFrame([(1, p, d) for p, d in enumerate([1, 2, 9, 7, 2, 1])], "doc int, pos int, depth int")
+    assert [r["end"] for r in reader.header_slice(heads, "doc", "pos", "depth").orderBy("pos").collect()] == [5, 4, 3, 4, 5, None]
+
+
+def test_neighbourhood_is_bounded(spark):
+    links = spark.createDataFrame([(0, i) for i in range(1, 50)] + [(1, 100)], "source long, target long")
+    got = [(r["node"], r["distance"]) for r in graph.neighbourhood(links, 0, 2, 10).collect()]
+    assert got == [(0, 0), *((i, 1) for i in range(1, 10))]

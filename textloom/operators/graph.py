@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.sources.lineage import cut
+
 
 def segments(slug: Column) -> Column:
     """Path segments; a last "index" belongs to its folder."""
@@ -49,29 +51,58 @@ def display_name(override: Column, title: Column, file_name: Column, slug: Colum
     return F.coalesce(override, F.when((title != "index") & (F.length(title) > 0), title), F.when(F.length(file_name) > 0, last(file_name)), last(slug))
 
 
-def cycles(edges: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(node, cycle) of nodes that reach themselves; edges: src, dst. Breadth-first with path arrays."""
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("__edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(start, node, path) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT src, dst, array(src, dst) FROM __edges
-          UNION ALL
-          SELECT w.start, e.dst, concat(w.path, array(e.dst)) FROM walk w JOIN __edges e ON e.src = w.node
-          WHERE w.node <> w.start AND (e.dst = w.start OR NOT array_contains(w.path, e.dst)))
-        SELECT start AS node, min(array_join(path, '>')) AS cycle FROM walk WHERE node = start GROUP BY start""")
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, cycle) of nodes that reach themselves, by a shortest cycle; edges: src, dst.
+
+    Each round follows the edges from the nodes that a start reached last, and keeps the
+    least path to each node that it had not reached; so the rounds are as many as the
+    longest shortest path, and paths through nodes seen before end.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    new = cut(edges.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path")))
+    seen, found = new.select("start", "node"), new.where("start = node")
+    while not new.isEmpty():
+        ahead = new.where("start <> node").join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        new = cut(ahead.groupBy("start", "node").agg(F.min("path").alias("path")).join(seen, ["start", "node"], "left_anti"))
+        seen = cut(seen.union(new.select("start", "node")))
+        found = found.union(new.where("start = node"))
+    return found.select(F.col("start").alias("node"), F.array_join("path", ">").alias("cycle"))
+
+
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node) reached from the roots, the roots included; a round for each step of the longest shortest path.
+
+    A node is followed once for each root: what was reached before is taken out of each round.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    first = F.col(roots.columns[0])
+    new = seen = cut(roots.select(first.alias("root"), first.alias("node")).distinct())
+    while not new.isEmpty():
+        ahead = new.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        new = cut(ahead.join(seen, ["root", "node"], "left_anti"))
+        seen = cut(seen.union(new))
+    return seen
+
+
+def neighbourhood(links: DataFrame, root, depth: int, most: int) -> DataFrame:
+    """(node, distance) within ``depth`` links of a page, in either direction: the nearest ``most``, then by name.
+
+    Each round joins only the nodes found last, at most ``most`` of them.
+    """
+    both = links.select(F.col("source").alias("u"), F.col("target").alias("v")).union(links.select(F.col("target").alias("u"), F.col("source").alias("v"))).where("u <> v")
+    kind = links.schema["source"].dataType
+    seen = new = links.sparkSession.createDataFrame([(root, 0)], "node string, distance int").select(F.col("node").cast(kind).alias("node"), "distance")
+    for k in range(1, depth + 1):
+        ahead = both.join(F.broadcast(new), F.col("u") == F.col("node")).select(F.col("v").alias("node")).distinct()
+        new = cut(ahead.join(F.broadcast(seen.select("node")), "node", "left_anti").orderBy("node").limit(most).withColumn("distance", F.lit(k)))
+        seen = seen.union(new)
+    return seen.orderBy("distance", "node").limit(most)
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(root, node) reached from the roots, each visited once per root; cycles end."""
-    edges.select("src", "dst").distinct().createOrReplaceTempView("__edges")
-    roots.select(F.col(roots.columns[0]).alias("root")).distinct().createOrReplaceTempView("__roots")
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(root, node, path) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT root, root, array(root) FROM __roots
-          UNION ALL
-          SELECT w.root, e.dst, concat(w.path, array(e.dst)) FROM walk w JOIN __edges e ON e.src = w.node WHERE NOT array_contains(w.path, e.dst))
-        SELECT DISTINCT root, node FROM walk""")
+def redirects(pages: DataFrame, slug: str, aliases: str) -> DataFrame:
+    """(alias, target) of pages' aliases, without those that are pages themselves; the least page has a shared alias."""
+    rows = pages.select(F.explode(aliases).alias("alias"), F.col(slug).alias("target")).groupBy("alias").agg(F.min("target").alias("target"))
+    return rows.join(pages.select(F.col(slug).alias("alias")), "alias", "left_anti")
 
 
 def transclusion_targets(refs: DataFrame, ref: str, pages: DataFrame, slug: str) -> DataFrame:
@@ -97,9 +128,10 @@ def dependency_problems(entries: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem).where("problem is not null").select("name", "dependency", "problem")
 
 
-def backlinks(links: DataFrame) -> DataFrame:
-    """(target, n, sources) of links (source, target)."""
-    return links.select("source", "target").distinct().groupBy("target").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("source")).alias("sources"))
+def backlinks(links: DataFrame, size: int = 4096) -> DataFrame:
+    """(target, block, n, sources) of links (source, target): integer sources in blocks of ``size`` consecutive values."""
+    block = F.expr(f"source div {size}").alias("block")
+    return links.select("source", "target").distinct().groupBy("target", block).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("source")).alias("sources"))
 
 
 def only_in(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -72,6 +72,25 @@ def published(df: DataFrame, rules: list[Column]) -> tuple[DataFrame, DataFrame]
     return df.where(ok), df.where(~ok)
 
 
+#: Folders that the explorer leaves out.
+HIDDEN = ("tags", "testi", "works", "404")
+
+
+def in_explorer(slug: str = "slug", hidden: tuple[str, ...] = HIDDEN) -> Column:
+    """Slugs whose first segment isn't a hidden folder."""
+    return ~F.split(slug, "/")[0].isin(*hidden)
+
+
+def known_folders(df: DataFrame, folder: str, kinds: DataFrame) -> DataFrame:
+    """Rows of folders with a type, which is added; kinds: folder, type."""
+    return df.join(F.broadcast(kinds), folder)  # a row for each folder of the site's layout
+
+
+def emitted(df: DataFrame, emitter: str) -> DataFrame:
+    """(emitter, files) and a last row of all files, whose emitter is null."""
+    return df.rollup(emitter).agg(F.count("*").alias("files"))
+
+
 def not_draft(draft: str = "draft") -> Column:
     return ~F.coalesce(F.col(draft).cast("string").isin("true"), F.lit(False))
 

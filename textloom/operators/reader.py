@@ -34,14 +34,16 @@ def runs(df: DataFrame, work: str, order: str, chapter: Column) -> DataFrame:
     return df.withColumn("run", F.when(F.col("__c").isNotNull(), F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))).drop("__c", "__s")
 
 
-def header_slice(df: DataFrame, doc: str, pos: str, depth: str) -> DataFrame:
+def header_slice(df: DataFrame, doc: str, pos: str, depth: str, levels: int = 6) -> DataFrame:
     """Adds end: the position of the next header of the same or a lesser depth; null to the text's end.
 
-    One ordered pass over each document's headers: a self-join would be quadratic.
+    One pass over each document's headers from its end, with a running minimum for each of
+    the ``levels`` depths; deeper headers count as of the last level.
     """
-    w = Window.partitionBy(doc).orderBy(pos).rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.struct(pos, depth)).over(w)
-    return df.withColumn("end", F.get(F.filter(later, lambda x: x[depth] <= F.col(depth)), F.lit(0))[pos])
+    w = Window.partitionBy(doc).orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.least(F.col(depth), F.lit(levels))
+    nearest = F.array(*[F.min(F.when(own <= k, F.col(pos))).over(w) for k in range(1, levels + 1)])
+    return df.withColumn("end", F.get(nearest, (own - 1).cast("int")))
 
 
 def body_in(translations: Column, lang: Column, source: Column) -> Column:

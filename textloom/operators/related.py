@@ -44,6 +44,11 @@ def contrast(atoms: DataFrame, tags: DataFrame, opposed: DataFrame, atom: str, w
     return one.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
 
 
+def enriched(found: DataFrame, works: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Related works with their titles and authors; works without a record go."""
+    return found.join(works.select(F.col(key).alias("other"), *columns), "other")
+
+
 def blocks(found: DataFrame, atom: str, fields: list[str]) -> DataFrame:
     """One row per atom with its related works in order."""
     return found.groupBy(atom).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("related"))

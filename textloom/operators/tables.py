@@ -30,6 +30,16 @@ def page(df: DataFrame, keys: list[Column], number: int, size: int) -> DataFrame
     return ranked.where(F.col("rank") > (number - 1) * size)
 
 
+def page_from_zero(df: DataFrame, keys: list[Column], number: int, size: int) -> DataFrame:
+    """Page ``number`` counted from 0, clamped to the first and last."""
+    return page(df, keys, max(0, number) + 1, size)
+
+
+def first_direction(df: DataFrame, column: str) -> bool:
+    """Whether a column is sorted downwards at first: numbers are."""
+    return dict(df.dtypes)[column] != "string"
+
+
 def range_text(total: int, number: int, size: int) -> str:
     if total == 0:
         return "0"

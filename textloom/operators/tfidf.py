@@ -8,18 +8,27 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 
 
-def term_frequencies(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """key, term, tf, first_pos: counts and first places of each text's words."""
-    return docs.select(key, F.posexplode(words).alias("pos", "term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
+#: Keys of a posting list's block.
+BLOCK = 4096
+
+
+def term_frequencies(docs: DataFrame, key: str, words: Column, stop: list[str] = ()) -> DataFrame:
+    """key, term, tf, first_pos: counts and first places of each text's words of three letters or more.
+
+    Texts are dealt by key before they are cut up, which spreads a file of one block over
+    the tasks and lets the counts go without a shuffle of their own.
+    """
+    rows = docs.repartition(key).select(key, F.posexplode(words).alias("pos", "term")).where((F.length("term") >= T.MIN_LENGTH) & ~F.col("term").isin(*stop))
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def scored(docs: DataFrame, key: str, words: Column) -> DataFrame:
+def scored(docs: DataFrame, key: str, words: Column, stop: list[str] = ()) -> DataFrame:
     """key, term, tf, first_pos, score = tf * ln(N / df); terms of every text are left out."""
-    tf = term_frequencies(docs, key, words)
+    tf = term_frequencies(docs, key, words, stop)
     total = docs.agg(F.count("*").alias("total"))  # one row
     out = tf.join(document_frequencies(tf), "term").join(F.broadcast(total))
     return out.withColumn("score", F.col("tf") * F.log(F.col("total") / F.col("df"))).where("df < total").drop("total")
@@ -32,22 +41,26 @@ def top_terms(ranked: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def keywords(docs: DataFrame, key: str, text: str, n: int = 40) -> DataFrame:
-    return top_terms(scored(docs, key, T.keywords(F.col(text))), key, n)
+    return top_terms(scored(docs, key, T.words(F.col(text)), T.STOPWORDS), key, n)
 
 
 def compressed_index(docs: DataFrame, key: str, text: str, n: int = 50, chars: int = 160) -> DataFrame:
     """A snippet and the best terms that it doesn't hold, for each text."""
     head = F.substring(text, 1, chars)
     shown = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(head), F.lit("([a-z][a-z']+)")))).alias("term"))
-    ranked = scored(docs, key, T.index_words(F.col(text))).join(shown, [key, "term"], "left_anti")
+    ranked = scored(docs, key, T.index_words(F.col(text)), T.INDEX_STOPWORDS).join(shown, [key, "term"], "left_anti")
     terms = top_terms(ranked, key, n).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
     out = docs.select(key, F.col(text).alias("__text")).join(terms, key, "left")
     return out.select(key, T.snippet(F.coalesce("__text", F.lit("")), F.coalesce("terms", F.array().cast("array<string>")), chars).alias("content"))
 
 
-def postings(pairs: DataFrame, term: str, key: str) -> DataFrame:
-    """term and its distinct keys."""
-    return pairs.groupBy(term).agg(F.sort_array(F.collect_set(key)).alias("keys"))
+def postings(pairs: DataFrame, term: str, key: str, size: int = BLOCK) -> DataFrame:
+    """term, block and keys: a term's distinct integer keys, in blocks of ``size`` consecutive values.
+
+    So no row or task holds a frequent term's whole list.
+    """
+    block = F.expr(f"{key} div {size}").alias("block")
+    return pairs.groupBy(term, block).agg(F.sort_array(F.collect_set(key)).alias("keys"))
 
 
 def lookup(pairs: DataFrame, term: str) -> DataFrame:

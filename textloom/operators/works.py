@@ -23,6 +23,16 @@ def without_apparatus(atoms: DataFrame, title: str) -> DataFrame:
     return atoms.where(~F.coalesce(T.apparatus(F.col(title)), F.lit(False)))
 
 
+def with_atoms(works: DataFrame, atoms: DataFrame, key: str) -> DataFrame:
+    """The works that still have an atom."""
+    return works.join(atoms.select(key).distinct(), key, "left_semi")
+
+
+def shelf_order(philosopher: Column, title: Column) -> Column:
+    """Order of works: philosopher and title as one string, by Unicode collation."""
+    return F.collate(F.concat(F.coalesce(philosopher, F.lit("")), F.coalesce(title, F.lit(""))), "UNICODE")
+
+
 def flat_title(title: Column) -> Column:
     return F.trim(F.coalesce(title, F.lit(""))).isin("") | (F.lower(F.trim(title)) == "(intero)")
 

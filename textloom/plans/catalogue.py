@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import extras, records, structure, texts
+from textloom.plans import extras, records, structure, texts, views
 
-ALL = texts.QUERIES | records.QUERIES | structure.QUERIES | extras.QUERIES
+ALL = texts.QUERIES | records.QUERIES | structure.QUERIES | extras.QUERIES | views.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

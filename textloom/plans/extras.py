@@ -14,7 +14,7 @@ from textloom.sources.readers import table
 def names(s, d):
     """Package names, Pascal case and code points of part names."""
     p = table(s, d, "part")
-    return p.select("p_partkey", T.pascal_case(F.lower("p_name")).alias("pascal"), T.package_name(F.concat(F.lit("git+https://h.org/x/"), F.col("p_partkey").cast("string"), F.lit(".git#v1"))).alias("package"), T.code_points(F.substring("p_name", 1, 2)).alias("points"))
+    return p.select("p_partkey", T.pascal_case(F.lower("p_name")).alias("pascal"), T.package_name(F.concat(F.lit("git+https://h.org/x/"), F.col("p_partkey").cast("string"), F.lit(".git#v1"))).alias("package"), T.code_points(F.col("p_name")).alias("points"))
 
 
 def sort_keys(s, d):
@@ -29,11 +29,11 @@ def highlights(s, d):
 
 def callouts(s, d):
     docs = table(s, d, "documents")
-    return docs.select("doc_id", T.abstract_callout(F.when(F.col("doc_id") % 4 != 0, F.substring("text", 1, 120)).otherwise(" \n ")).alias("callout"))
+    return docs.select("doc_id", T.abstract_callout(F.when(F.col("doc_id") % 4 != 0, F.col("text")).otherwise(" \n ")).alias("callout"))
 
 
 def stripped_headings(s, d):
-    docs = table(s, d, "documents").withColumn("body", F.concat(F.lit("\n# "), "source", F.lit(" \n"), F.substring("text", 1, 40)))
+    docs = table(s, d, "documents").withColumn("body", F.concat(F.lit("\n# "), "source", F.lit(" \n"), F.coalesce("text", F.lit(""))))
     return docs.select("doc_id", T.strip_leading_h1(F.col("body"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("other")).alias("body"))
 
 
@@ -51,7 +51,7 @@ def styles(s, d):
 def missing_references(s, d):
     """Documents without a label, listed by source."""
     lost = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti")
-    return lost.groupBy("source").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids"))
+    return lost.groupBy("source", F.expr("doc_id div 4096").alias("block")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("doc_id")), ",").alias("ids"))
 
 
 def last_wins(s, d):
@@ -91,12 +91,12 @@ def packages_per_category(s, d):
 
 
 def translations(s, d):
-    """Turns of a conversation as translations of its first."""
-    turns = table(s, d, "conversations").where("turn < 3")
-    first = turns.where("turn = 0").select("conv_id", F.substring("text", 1, 30).alias("body"))
-    others = turns.where("turn > 0").select("conv_id", F.when(F.col("turn") == 1, "it").otherwise("en").alias("lang"), F.substring("text", 1, 30).alias("body"))
+    """All later turns of a conversation as translations of its first."""
+    turns = table(s, d, "conversations")
+    first = turns.where("turn = 0").select("conv_id", F.col("text").alias("body"))
+    others = turns.where("turn > 0").select("conv_id", F.concat(F.lit("l"), F.col("turn").cast("string")).alias("lang"), F.col("text").alias("body"))
     out = works.with_translations(first, others, "conv_id")
-    return out.select("conv_id", "body", F.element_at("translations", F.lit("it")).alias("it"), F.element_at("translations", F.lit("en")).alias("en"))
+    return out.select("conv_id", "body", F.explode_outer("translations").alias("lang", "translation"))
 
 
 def rebased_links(s, d):
@@ -121,10 +121,11 @@ def excerpt_order(s, d):
 
 def natural_order(s, d):
     """Folder names with numbers by value."""
-    rows = s.createDataFrame([("note 10",), ("note 9",), ("Étude 2",), ("etude 11",)], "name string")
     from pyspark.sql import Window
 
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(tables.natural_key(F.col("name")))).cast("long"))
+    case = F.when(F.col("p_partkey") % 2 == 0, F.lit("Étude ")).otherwise(F.lit("etude "))
+    rows = table(s, d, "part").select("p_brand", F.concat(case, F.col("p_partkey").cast("string")).alias("name"))
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("p_brand").orderBy(tables.natural_key(F.col("name")))).cast("long"))
 
 
 def facet_text_search(s, d):
@@ -144,14 +145,14 @@ REBASE_SQL = r"""WITH x AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+
 SELECT page_id, '/' || array_to_string(list_concat(list_slice(f, 1, greatest(len(f) - 1, 0)), ['img', 'a.png']), '/') AS up, '/css/x.css' AS root, 'https://z.org/' AS outside FROM y"""
 
 QUERIES = {
-    "names": (names, "SELECT p_partkey, array_to_string(list_transform(regexp_split_to_array(lower(p_name), '[-_\\s]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS pascal, p_partkey::VARCHAR AS package, format('{:x}-{:x}', ord(p_name), ord(substr(p_name, 2, 1))) AS points FROM part"),
+    "names": (names, "SELECT p_partkey, array_to_string(list_transform(regexp_split_to_array(lower(p_name), '[-_\\s]+'), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), '') AS pascal, p_partkey::VARCHAR AS package, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: format('{:x}', ord(substr(p_name, i, 1)))), '-') AS points FROM part"),
     "sort_keys": (sort_keys, "SELECT p_partkey, lower(p_type) || ' (2/3)' AS key, 'The ' || p_type AS chapter, p_brand AS leaf FROM part"),
     "highlights": (highlights, "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'e') THEN '&lt;' || substr(p_type, 1, instr(lower(p_type), 'e') - 1) || '<mark>' || substr(p_type, instr(lower(p_type), 'e'), 1) || '</mark>' || substr(p_type, instr(lower(p_type), 'e') + 1) || '&gt;' ELSE '&lt;' || p_type || '&gt;' END AS shown FROM part"),
-    "callouts": (callouts, r"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND trim(regexp_replace(substr(text, 1, 120), '\s*\n\s*', ' ', 'g')) <> '' THEN '> [!abstract]' || chr(10) || '> ' || trim(regexp_replace(substr(text, 1, 120), '\s*\n\s*', ' ', 'g')) END AS callout FROM documents"),
-    "stripped_headings": (stripped_headings, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 40) ELSE chr(10) || '# ' || source || ' ' || chr(10) || substr(text, 1, 40) END AS body FROM documents"),
+    "callouts": (callouts, r"SELECT doc_id, CASE WHEN doc_id % 4 <> 0 AND trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) <> '' THEN '> [!abstract]' || chr(10) || '> ' || trim(regexp_replace(text, '\s*\n\s*', ' ', 'g')) END AS callout FROM documents"),
+    "stripped_headings": (stripped_headings, "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(text, '') ELSE chr(10) || '# ' || source || ' ' || chr(10) || coalesce(text, '') END AS body FROM documents"),
     "dates": (dates, "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%d/%m/%Y') AS local FROM orders"),
     "styles": (styles, "SELECT s_suppkey, unnest(['/f/' || s_suppkey || '.woff2', 'b.ttf']) AS url FROM supplier"),
-    "missing_references": (missing_references, "SELECT source, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY source"),
+    "missing_references": (missing_references, "SELECT source, doc_id // 4096 AS block, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY ALL"),
     "last_wins": (last_wins, "SELECT source, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang, arg_max(n_chars, doc_id) AS n_chars FROM documents GROUP BY source"),
     "byte_totals": (byte_totals, "SELECT sum(strlen(text))::BIGINT AS full_bytes, sum(strlen(substr(text, 1, 80)))::BIGINT AS short_bytes FROM documents"),
     "author_filter": (author_filter, "SELECT doc_id FROM documents WHERE source = 'src3'"),
@@ -159,11 +160,11 @@ QUERIES = {
     "package_table": (package_table, "SELECT n_name AS name, r_name AS category, CASE WHEN n_nationkey % 2 = 0 THEN 'abc' END AS resolved, n_nationkey % 2 = 0 AS installed, n_nationkey % 4 = 2 AS modified FROM nation JOIN region ON n_regionkey = r_regionkey"),
     "package_groups": (package_groups, "SELECT n_regionkey::VARCHAR AS \"group\", CASE WHEN n_regionkey < 2 THEN 5 ELSE arg_min(n_nationkey * 10, n_nationkey) END AS priority, string_agg(n_name, ',' ORDER BY n_nationkey) AS names FROM nation GROUP BY n_regionkey"),
     "packages_per_category": (packages_per_category, "SELECT r_name AS category, count(*) AS n, count(*) FILTER (n_nationkey % 2 = 0) AS installed FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
-    "translations": (translations, "SELECT a.conv_id, substr(a.text, 1, 30) AS body, substr(b.text, 1, 30) AS it, substr(c.text, 1, 30) AS en FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = 1 LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn = 2 WHERE a.turn = 0"),
+    "translations": (translations, "SELECT a.conv_id, a.text AS body, 'l' || b.turn AS lang, b.text AS translation FROM conversations a LEFT JOIN conversations b ON b.conv_id = a.conv_id AND b.turn > 0 WHERE a.turn = 0"),
     "rebased_links": (rebased_links, REBASE_SQL),
     "concept_works": (concept_works, "WITH c AS (SELECT n_name, unnest(range(0, 4)) AS pos, n_nationkey FROM nation) SELECT n_name, pos, c_name FROM c JOIN customer ON c_custkey = n_nationkey * 97 + (pos + 1) * 13"),
     "excerpt_order": (excerpt_order, "SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS rank FROM conversations"),
-    "natural_order": (natural_order, "SELECT * FROM (VALUES ('Étude 2', 1::BIGINT), ('etude 11', 2), ('note 9', 3), ('note 10', 4)) t(name, rank)"),
+    "natural_order": (natural_order, "SELECT p_brand, CASE p_partkey % 2 WHEN 0 THEN 'Étude ' ELSE 'etude ' END || p_partkey AS name, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rank FROM part"),
     "facet_text_search": (facet_text_search, "SELECT p_partkey FROM part WHERE p_size IN (1, 2, 3) AND (contains(lower(p_name), 'a') OR contains(lower(p_type), 'a')) AND (contains(lower(p_name), 'e') OR contains(lower(p_type), 'e'))"),
     "vocabulary_union": (vocabulary_union, "SELECT n_name AS id, 'nation' AS type, NULL::INTEGER AS axis, count(c_custkey) AS work_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name UNION ALL SELECT r_name, 'region', r_regionkey, 0 FROM region"),
 }

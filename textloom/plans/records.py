@@ -9,8 +9,6 @@ from textloom.functions import text as T
 from textloom.operators import facets, reader, related, tables, vocab, works
 from textloom.sources.readers import table
 
-CAP = 30
-
 
 def _tags(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
@@ -23,12 +21,12 @@ def tag_live_count(s, d):
 def affinity_topn(s, d):
     tags = _tags(s, d)
     atoms = tags.select(F.col("l_orderkey").alias("atom"), "l_orderkey", "l_partkey")
-    out = related.affinity(atoms, tags, "atom", "l_orderkey", "l_partkey", cap=CAP)
+    out = related.affinity(atoms, tags, "atom", "l_orderkey", "l_partkey")
     return out.select("atom", "other", F.round("s", 6).alias("s"), "shared", "rank")
 
 
 WEIGHTED = """tags AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
-dfs AS (SELECT l_partkey, count(*) AS df FROM tags GROUP BY 1 HAVING count(*) <= 30)"""
+dfs AS (SELECT l_partkey, count(*) AS df FROM tags GROUP BY 1 HAVING count(*) <= 80)"""
 AFFINITY_SQL = f"""WITH {WEIGHTED},
 sc AS (SELECT a.l_orderkey AS atom, b.l_orderkey AS other, sum(1 / log2(df + 1)) AS s, count(*) AS shared FROM tags a JOIN dfs USING (l_partkey) JOIN tags b USING (l_partkey) WHERE a.l_orderkey <> b.l_orderkey GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY atom ORDER BY round(s, 9) DESC, shared DESC, other) AS rank FROM sc)
@@ -43,7 +41,7 @@ def _opposed(parts: DataFrame) -> DataFrame:
 def contrast_topn(s, d):
     tags = _tags(s, d)
     atoms = tags.select(F.col("l_orderkey").alias("atom"), "l_orderkey", "l_partkey")
-    out = related.contrast(atoms, tags, _opposed(table(s, d, "part")), "atom", "l_orderkey", "l_partkey", cap=CAP)
+    out = related.contrast(atoms, tags, _opposed(table(s, d, "part")), "atom", "l_orderkey", "l_partkey")
     return out.select("atom", "other", "l_partkey", "against", F.round("weight", 6).alias("weight"), "rank")
 
 
@@ -111,8 +109,9 @@ def header_slices(s, d):
 
 def lang_fallback(s, d):
     docs = table(s, d, "documents").select("doc_id", "lang", "source")
-    m = F.create_map(F.lit("en"), F.concat(F.lit("en "), "source"), F.col("lang"), F.concat(F.lit("src "), "source"))
-    docs = docs.where("lang <> 'en'").select("doc_id", "lang", m.alias("t"))
+    own = F.when(F.col("lang") != "en", F.create_map(F.col("lang"), F.concat(F.lit("src "), "source"))).otherwise(F.create_map().cast("map<string,string>"))
+    m = F.map_concat(F.create_map(F.lit("en"), F.concat(F.lit("en "), "source")), own)
+    docs = docs.select("doc_id", "lang", m.alias("t"))
     return docs.select("doc_id", *[reader.body_in(F.col("t"), F.lit(x), F.col("lang")).alias(x) for x in ("en", "it")])
 
 
@@ -165,7 +164,7 @@ def table_filter_tokens(s, d):
 
 
 def content_filter(s, d):
-    bag = table(s, d, "documents").where("doc_id % 2 = 0").select("doc_id", F.lower("text").alias("words"))
+    bag = table(s, d, "documents").select("doc_id", F.lower("text").alias("words"))
     return facets.content_matches(table(s, d, "documents").select("doc_id", "source"), bag, "doc_id", "the re", phrase=False)
 
 
@@ -213,7 +212,7 @@ QUERIES = {
     "marker_segments": (marker_segments, SEGMENT_SQL),
     "toc_runs": (toc_runs, RUNS_SQL),
     "header_slices": (header_slices, "SELECT conv_id, turn, turn % 3 + 1 AS depth, (SELECT min(b.turn) FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn > a.turn AND b.turn % 3 <= a.turn % 3) AS \"end\" FROM conversations a"),
-    "lang_fallback": (lang_fallback, "SELECT doc_id, 'en ' || source AS en, 'src ' || source AS it FROM documents WHERE lang <> 'en'"),
+    "lang_fallback": (lang_fallback, "SELECT doc_id, 'en ' || source AS en, CASE lang WHEN 'en' THEN 'en ' ELSE 'src ' END || source AS it FROM documents"),
     "work_languages": (work_languages, "SELECT source, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents GROUP BY source"),
     "facet_counts": (facet_counts, FACET_SQL),
     "facet_any": (facet_any, f"SELECT p_partkey FROM part WHERE p_brand IN {BRAND.format(2)} AND p_size IN (7, 8, 9)"),
@@ -221,9 +220,9 @@ QUERIES = {
     "facet_none": (facet_none, "SELECT p_partkey FROM part WHERE false"),
     "table_filter_phrase": (table_filter_phrase, "SELECT c_custkey FROM customer WHERE contains(lower(c_name), 'r#00000001') OR contains(lower(c_mktsegment), 'r#00000001')"),
     "table_filter_tokens": (table_filter_tokens, "SELECT c_custkey FROM customer WHERE (contains(lower(c_name), 'build') OR contains(lower(c_mktsegment), 'build')) AND (contains(lower(c_name), '1') OR contains(lower(c_mktsegment), '1'))"),
-    "content_filter": (content_filter, "SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 AND contains(lower(text), 'the') AND contains(lower(text), 're')"),
+    "content_filter": (content_filter, "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 're')"),
     "table_sort_page": (table_sort_page, "SELECT c_custkey, c_acctbal, rank FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal DESC NULLS LAST, regexp_replace(lower(c_name), '^(the|a|an)\\s+', ''), c_name) AS rank FROM customer) WHERE rank BETWEEN 51 AND 75"),
-    "apparatus_filter": (apparatus_filter, "SELECT conv_id, turn FROM conversations WHERE turn > 1"),
+    "apparatus_filter": (apparatus_filter, "SELECT conv_id, turn FROM conversations WHERE NOT regexp_matches(CASE turn WHEN 0 THEN 'The Editor''s note ' || role WHEN 1 THEN 'TRANSLATOR’S PREFACE' ELSE 'Against the Editor ' || role END, '(?i)^(the )?(translator|editor).?s (preface|note)( |$)')"),
     "work_totals": (work_totals, r"SELECT conv_id, sum(len(regexp_extract_all(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\S+')))::BIGINT AS words, count(*) AS atoms FROM conversations GROUP BY conv_id"),
     "works_per_author": (works_per_author, "SELECT source, count(*) AS works FROM documents GROUP BY source"),
     "cleanup_counters": (cleanup_counters, "SELECT count(*) AS texts, count(quality) AS labelled, count(*) FILTER (toxic = 1) AS toxic, count(DISTINCT source) AS sources, count(*) FILTER (length(text) = 0) AS blank, sum(strlen(text))::BIGINT AS bytes FROM documents LEFT JOIN labels USING (doc_id)"),

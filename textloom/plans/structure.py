@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import paths as P
 from textloom.functions import text as T
-from textloom.operators import graph, pages
+from textloom.operators import graph, pages, tables
 from textloom.sources.readers import table
 from textloom.streaming import incremental
 
@@ -52,16 +52,18 @@ SHORTEST_SQL = rf"""WITH {SLUGS}, u AS (SELECT regexp_extract(slug, '([^/]+)$',
 x AS (SELECT page_id, slug, regexp_extract(slug, '([^/]+)$', 1) AS name FROM slugs), y AS (SELECT page_id, len(string_split(slug, '/')) - 1 AS ups, coalesce(target, regexp_replace(name, '\.(html|md)$', '')) AS t FROM x LEFT JOIN u USING (name))
 SELECT page_id, CASE WHEN ups = 0 THEN './' ELSE repeat('../', ups) END || t AS link FROM y"""
 
-PACKAGES = [("a", True, 10, ["b"]), ("b", True, 20, ["c", "x"]), ("c", False, 30, []), ("d", True, 40, ["a"]), ("e", False, 5, ["x"])]
-
-
 def dep_validate(s, d):
-    return graph.dependency_problems(s.createDataFrame(PACKAGES, "name string, enabled boolean, ord int, dependencies array<string>"))
+    """Nations as packages: each depends on the region's name, which is no package, and on the nation after it."""
+    n = table(s, d, "nation")
+    names = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("after"))
+    rows = n.join(names, "n_nationkey", "left").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    deps = F.array_compact(F.array("after", "r_name"))
+    return graph.dependency_problems(rows.select(F.col("n_name").alias("name"), (F.col("n_nationkey") % 4 != 0).alias("enabled"), (F.col("n_nationkey") * 7 % 25).alias("ord"), deps.alias("dependencies")))
 
 
 def dep_cycles(s, d):
-    edges = s.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "a")], "src string, dst string")
-    return graph.cycles(edges)
+    n = F.col("n_nationkey").cast("long")
+    return graph.cycles(table(s, d, "nation").select(n.alias("src"), ((n * 3 + 1) % 25).alias("dst")))
 
 
 def dep_closure(s, d):
@@ -88,7 +90,7 @@ def extension_aliases(s, d):
 def backlinks(s, d):
     hrefs = table(s, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
     out = graph.backlinks(hrefs.withColumnRenamed("page_id", "source"))
-    return out.select("target", "n", F.array_join("sources", ",").alias("sources"))
+    return out.select("target", "block", "n", F.array_join("sources", ",").alias("sources"))
 
 
 def change_log_apply(s, d):
@@ -131,26 +133,18 @@ def virtual_pages(s, d):
 
 def page_list(s, d):
     o = table(s, d, "orders").select(F.col("o_orderkey"), F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("date"), F.col("o_orderpriority").alias("title"))
-    out = o.orderBy(F.col("date").desc_nulls_last(), "title", "o_orderkey").limit(50)
-    return out.select("o_orderkey", "title")
-
-
-VERSIONS = [("1.2.3", "1.2.3"), ("v1.10.0", "1.9.9"), ("1.2", "1.2.1"), ("2", ""), ("0.9.9", "1.0.0"), ("x.1", "0.1.0"), ("4.5.0-beta", "4.5.0")]
+    return tables.listing(o.withColumn("title", F.concat("title", F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))), "date", "title", limit=50).select("o_orderkey", "title")
 
 
 def version_filter(s, d):
-    return s.createDataFrame(VERSIONS, "have string, need string").select("have", "need", T.version_at_least(F.col("have"), F.col("need")).alias("ok"))
-
-
-SOURCES = ["github:o/r", "github:o/r#dev", "git+https://h.org/a/b.git#x", "https://h.org/a/b", "./local/p", "o/r", "nonsense"]
-
-
-def package_sources(s, d):
-    return s.createDataFrame([(x,) for x in SOURCES], "source string").select("source", T.package_source(F.col("source")).alias("p")).select("source", "p.*")
+    """Versions made of three numbers of a part, held against another's."""
+    text = lambda *c: F.concat_ws(".", *[F.expr(f"cast({x} as string)") for x in c])
+    rows = table(s, d, "part").select("p_partkey", F.concat(F.when(F.col("p_partkey") % 3 == 0, "v").otherwise(""), text("p_size % 4", "p_partkey % 12", "p_size % 11")).alias("have"), F.when(F.col("p_partkey") % 9 == 0, "").otherwise(text("p_partkey % 4", "p_size % 12", "p_partkey % 11")).alias("need"))
+    return rows.select("p_partkey", "have", "need", T.version_at_least(F.col("have"), F.col("need")).alias("ok"))
 
 
-PACKAGE_SQL = """SELECT * FROM (VALUES ('github:o/r', 'github', 'r', 'https://github.com/o/r.git', 'main'), ('github:o/r#dev', 'github', 'r', 'https://github.com/o/r.git', 'dev'), ('git+https://h.org/a/b.git#x', 'git', 'b', 'https://h.org/a/b.git', 'x'),
-('https://h.org/a/b', 'https', 'b', 'https://h.org/a/b', 'main'), ('./local/p', 'local', 'p', './local/p', NULL), ('o/r', 'github', 'r', 'https://github.com/o/r.git', 'main'), ('nonsense', NULL, NULL, NULL, NULL)) t(source, kind, name, repo, ref)"""
+VERSION_SQL = """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'v' ELSE '' END || concat_ws('.', p_size % 4, p_partkey % 12, p_size % 11) AS have, CASE p_partkey % 9 WHEN 0 THEN '' ELSE concat_ws('.', p_partkey % 4, p_size % 12, p_partkey % 11) END AS need,
+p_partkey % 9 = 0 OR (p_size % 4) * 10000 + (p_partkey % 12) * 100 + p_size % 11 >= (p_partkey % 4) * 10000 + (p_size % 12) * 100 + p_partkey % 11 AS ok FROM part"""
 
 
 def relative_links(s, d):
@@ -164,20 +158,19 @@ QUERIES = {
     "path_ancestors": (path_ancestors, f"WITH {SLUGS}, x AS (SELECT page_id, string_split(slug, '/') AS g FROM slugs), y AS (SELECT page_id, g, unnest(range(0, len(g) + 1)) AS depth FROM x) SELECT page_id, depth, array_to_string(list_slice(g, 1, depth), '/') AS ancestor FROM y"),
     "trie_pruned": (trie_pruned, f"WITH {STEPS} SELECT DISTINCT path FROM nodes WHERE NOT regexp_matches(path, '(^|/)en(/|$)')"),
     "link_resolve_shortest": (link_resolve_shortest, SHORTEST_SQL),
-    "dep_validate": (dep_validate, "SELECT * FROM (VALUES ('a', 'b', 'order'), ('b', 'c', 'disabled'), ('b', 'x', 'missing')) t(name, dependency, problem)"),
-    "dep_cycles": (dep_cycles, "SELECT * FROM (VALUES ('a', 'a>b>c>a'), ('b', 'b>c>a>b'), ('c', 'c>a>b>c'), ('d', 'd>d')) t(node, cycle)"),
+    "dep_validate": (dep_validate, "SELECT a.n_name AS name, b.n_name AS dependency, CASE WHEN b.n_nationkey % 4 = 0 THEN 'disabled' ELSE 'order' END AS problem FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey % 4 <> 0 AND (b.n_nationkey % 4 = 0 OR a.n_nationkey * 7 % 25 < b.n_nationkey * 7 % 25) UNION ALL SELECT n_name, r_name, 'missing' FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0"),
+    "dep_cycles": (dep_cycles, "WITH RECURSIVE w(start, node, cycle, n) AS (SELECT n_nationkey::BIGINT, (n_nationkey * 3 + 1) % 25, n_nationkey || '>' || (n_nationkey * 3 + 1) % 25, 1 FROM nation UNION ALL SELECT start, (node * 3 + 1) % 25, cycle || '>' || (node * 3 + 1) % 25, n + 1 FROM w WHERE node <> start AND n < 26) SELECT start AS node, cycle FROM w WHERE node = start"),
     "dep_closure": (dep_closure, CLOSURE_SQL),
     "set_prune": (set_prune, "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
     "set_missing": (set_missing, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "extension_aliases": (extension_aliases, f"WITH {SLUGS}, x AS (SELECT DISTINCT regexp_replace(slug, '\\.(html|md)$', '') AS slug FROM slugs WHERE regexp_matches(slug, '\\.(html|md)$')) SELECT slug FROM x WHERE slug NOT IN (SELECT slug FROM slugs)"),
-    "backlinks": (backlinks, """WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) SELECT target, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS sources FROM l GROUP BY target"""),
+    "backlinks": (backlinks, """WITH l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) SELECT target, page_id // 4096 AS block, count(*) AS n, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS sources FROM l GROUP BY ALL"""),
     "change_log_apply": (change_log_apply, APPLY_SQL),
     "incremental_recompute": (incremental_recompute, "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id"),
     "partial_emit": (partial_emit, "SELECT doc_id AS path, source AS title FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality <> 0) UNION ALL SELECT -1::BIGINT, n_name FROM nation"),
     "page_dispatch": (page_dispatch, f"WITH {SLUGS} SELECT page_id, CASE WHEN contains(slug, '/de/') THEN 'german' WHEN (suffix(slug, '.html') OR NOT contains(slug, '.')) AND NOT contains(slug, '/fr/') THEN 'document' WHEN contains(slug, '/fr/') THEN 'french' END AS page_type FROM slugs WHERE page_type IS NOT NULL"),
     "virtual_pages": (virtual_pages, "SELECT 'tags/' || t AS slug, t AS title FROM (SELECT lang AS t FROM documents UNION SELECT lang || '/' || source FROM documents) UNION ALL SELECT '404', 'Not found'"),
-    "page_list": (page_list, "SELECT o_orderkey, o_orderpriority AS title FROM orders ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderpriority, o_orderkey LIMIT 50"),
-    "version_filter": (version_filter, "SELECT * FROM (VALUES ('1.2.3', '1.2.3', true), ('v1.10.0', '1.9.9', true), ('1.2', '1.2.1', false), ('2', '', true), ('0.9.9', '1.0.0', false), ('x.1', '0.1.0', true), ('4.5.0-beta', '4.5.0', true)) t(have, need, ok)"),
-    "package_sources": (package_sources, PACKAGE_SQL),
+    "page_list": (page_list, "SELECT o_orderkey, o_orderpriority || lpad(o_orderkey::VARCHAR, 12, '0') AS title FROM orders ORDER BY CASE WHEN o_orderkey % 10 <> 0 THEN o_orderdate END DESC NULLS LAST, o_orderpriority, o_orderkey LIMIT 50"),
+    "version_filter": (version_filter, VERSION_SQL),
     "relative_links": (relative_links, f"WITH {SLUGS}, x AS (SELECT page_id, slug, len(string_split(slug, '/')) - 1 AS ups FROM slugs) SELECT page_id, CASE WHEN ups = 0 THEN '.' ELSE rtrim(repeat('../', ups), '/') END AS root, CASE WHEN ups = 0 THEN './' ELSE repeat('../', ups) END || 'a/' AS link, lower(slug) AS tag FROM x"),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import frontmatter, tfidf, vocab, works
+from textloom.operators import tfidf, vocab, works
 from textloom.sources.readers import table
 from textloom.sources.sinks import small_index
 
@@ -16,13 +16,12 @@ def _list(words) -> str:
 
 
 CLEAN = r"""regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(text, '\[\[(?:[^\]|]+\|)?([^\]]+)\]\]', ' \1 ', 'g'), '\[[^\]]*\]\([^)]*\)', ' ', 'g'), '[`*_>#|]', ' ', 'g')), '[^a-zà-ÿ\s]', ' ', 'g')"""
-WORDS = f"list_filter(regexp_split_to_array({CLEAN}, '\\s+'), lambda w: length(w) >= 3 AND NOT list_contains({_list(T.STOPWORDS)}, w))"
-TF = f"""toks AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS} AS ws FROM documents)),
+TF = f"""every AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_split_to_array({CLEAN}, '\\s+') AS ws FROM documents)),
+toks AS (SELECT * FROM every WHERE length(term) >= 3 AND NOT list_contains({_list(T.STOPWORDS)}, term)),
 tf AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM toks GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 ranked AS (SELECT doc_id, term, tf, first_pos, tf * ln((SELECT count(*) FROM documents) / df) AS score FROM tf JOIN dfs USING (term) WHERE df < (SELECT count(*) FROM documents)),
 top AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, first_pos) AS rank FROM ranked)"""
-WORDS2 = f"list_filter(regexp_extract_all(lower(text), '[a-z][a-z'']+'), lambda w: length(w) >= 3 AND NOT list_contains({_list(T.INDEX_STOPWORDS)}, w))"
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
@@ -30,7 +29,7 @@ def _docs(s: SparkSession, d: str) -> DataFrame:
 
 
 def term_freq(s, d):
-    return tfidf.term_frequencies(_docs(s, d), "doc_id", T.keywords(F.col("text")))
+    return tfidf.term_frequencies(_docs(s, d), "doc_id", T.words(F.col("text")), T.STOPWORDS)
 
 
 def doc_freq(s, d):
@@ -46,7 +45,8 @@ def tfidf_snippet_index(s, d):
     return tfidf.compressed_index(_docs(s, d), "doc_id", "text")
 
 
-SNIPPET_SQL = f"""WITH toks AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, {WORDS2} AS ws FROM documents)),
+SNIPPET_SQL = f"""WITH every AS (SELECT doc_id, unnest(ws) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z][a-z'']+') AS ws FROM documents)),
+toks AS (SELECT * FROM every WHERE length(term) >= 3 AND NOT list_contains({_list(T.INDEX_STOPWORDS)}, term)),
 tf AS (SELECT doc_id, term, count(*) AS tf, min(pos) AS first_pos FROM toks GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 ranked AS (SELECT doc_id, term, first_pos, tf * ln((SELECT count(*) FROM documents) / df) AS score FROM tf JOIN dfs USING (term) JOIN documents USING (doc_id)
@@ -59,11 +59,11 @@ SELECT doc_id, coalesce(substr(text, 1, 160), '') || coalesce(' ' || terms, '')
 def inverted_index(s, d):
     pairs = tfidf_topk(s, d).select("term", "doc_id").union(table(s, d, "documents").select(F.lower("source").alias("term"), "doc_id")).distinct()
     out = tfidf.postings(pairs, "term", "doc_id")
-    return out.select("term", F.size("keys").cast("long").alias("n_docs"), F.array_join("keys", ",").alias("docs"))
+    return out.select("term", "block", F.size("keys").cast("long").alias("n_docs"), F.array_join("keys", ",").alias("docs"))
 
 
 INVERTED_SQL = f"""WITH {TF}, pairs AS (SELECT term, doc_id FROM top WHERE rank <= 40 UNION SELECT lower(source), doc_id FROM documents)
-SELECT term, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM pairs GROUP BY term"""
+SELECT term, doc_id // 4096 AS block, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM pairs GROUP BY ALL"""
 
 
 def word_count(s, d):
@@ -77,7 +77,7 @@ def slugify(s, d):
 
 
 def html_escape(s, d):
-    return table(s, d, "pages").select("page_id", T.html_escape(F.substring("html", 1, 400)).alias("escaped"))
+    return table(s, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped"))
 
 
 SURFACES = [("the of", "s1", False), ("the", "s2", False), ("des", "s3", False), ("les", "s3", False), ("das", "s4", False), ("and", "s5", True), ("erha", "s6", False)]
@@ -101,39 +101,14 @@ def link_extract(s, d):
     return pages.select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
-NOTES = [(1, "See [[kant|the critic]] and [[hume]]."), (2, "Nothing here."), (3, "[[nowhere]] then [[ kant ]] and [[nowhere|a label]]"), (4, "[[hume|David]][[kant]]")]
-TARGETS = [("kant", "works/kant", "Kant", 1), ("kant", "figures/kant", "Immanuel Kant", 2), ("hume", "figures/hume", "Hume", 2)]
-
-
-def wikilink_rewrite(s, d):
-    notes = s.createDataFrame(NOTES, "id long, body string")
-    targets = s.createDataFrame(TARGETS, "target string, href string, title string, priority int")
-    return vocab.rewritten(notes, "id", "body", targets).select("id", "body")
-
-
-WIKILINK_SQL = """SELECT * FROM (VALUES (1::BIGINT, 'See [the critic](/works/kant) and [Hume](/figures/hume).'), (2, 'Nothing here.'), (3, 'nowhere then [Kant](/works/kant) and a label'), (4, '[David](/figures/hume)[Kant](/works/kant)')) t(id, body)"""
-
-FRONT = [(1, "---\ntitle: \"A b\"\nyear: 1790\nlive: true\nnone: ~\ntags: [x, 'y', ]\nalias:\n  - \"p\"\n  - q\nempty:\n---\nBody"), (2, "no block"), (3, "---\na: 1\na: 2.5\n--- \nx")]
-
-
-def frontmatter_parse(s, d):
-    rows = frontmatter.parsed(s.createDataFrame(FRONT, "id long, raw string"))
-    flat = rows.select("id", F.explode(F.map_entries("data")).alias("e"))
-    return flat.select("id", F.col("e.key").alias("key"), F.col("e.value.kind").alias("kind"), F.col("e.value.scalar").alias("scalar"), F.array_join("e.value.items", "|").alias("items"))
-
-
-FRONT_SQL = """SELECT * FROM (VALUES (1::BIGINT, 'title', 'string', 'A b', NULL), (1, 'year', 'number', '1790', NULL), (1, 'live', 'boolean', 'true', NULL), (1, 'none', 'null', NULL, NULL), (1, 'tags', 'list', NULL, 'x|y'), (1, 'alias', 'list', NULL, 'p|q'), (1, 'empty', 'list', NULL, ''), (3, 'a', 'number', '2.5', NULL)) t(id, key, kind, scalar, items)"""
-
-
 def search_encoder(s, d):
     docs = table(s, d, "documents").select("doc_id", T.search_tokens(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+    return docs.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 def cleaned_chars(s, d):
-    """Row counts by language of texts whose cleaning changes their letters' number."""
-    docs = table(s, d, "documents").withColumn("c", T.cleaned(F.col("text")))
-    return docs.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length(F.regexp_replace("c", r"\s", ""))).alias("letters"))
+    """Digest of each cleaned text without its white space."""
+    return table(s, d, "documents").select("doc_id", F.md5(F.encode(F.regexp_replace(T.cleaned(F.col("text")), r"\s", ""), "UTF-8")).alias("digest"))
 
 
 def label_index(s, d):
@@ -165,7 +140,7 @@ SELECT doc_id, CASE WHEN bits <> '' THEN '<p class="work-source">' || replace(bi
 
 SLUG_SQL = r"""SELECT p_partkey, regexp_replace(lower(regexp_replace(replace(replace(regexp_replace(p_type || '/' || p_name, '\s', '-', 'g'), '&', '-and-'), '%', '-percent'), '[?#]', '', 'g')), '/$', '') AS slug,
 trim(replace(replace(p_name, ' ', '_'), '_', ' ')) AS plain, upper(substr(lower(p_name), 1, 1)) || substr(lower(p_name), 2) AS shown FROM part"""
-ESC_SQL = """SELECT page_id, replace(replace(replace(replace(substr(html, 1, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages"""
+ESC_SQL = """SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped FROM pages"""
 WC_SQL = r"""SELECT 'documents' AS kind, doc_id AS id, len(regexp_extract_all(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\S+'))::BIGINT AS words FROM documents
 UNION ALL SELECT 'pages', page_id, len(regexp_extract_all(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\S+'))::BIGINT FROM pages"""
 
@@ -180,10 +155,8 @@ QUERIES = {
     "html_escape": (html_escape, ESC_SQL),
     "surface_match": (surface_match, SURFACE_SQL),
     "link_extract": (link_extract, """SELECT page_id, (generate_subscripts(h, 1) - 1)::BIGINT AS pos, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS h FROM pages)"""),
-    "wikilink_rewrite": (wikilink_rewrite, WIKILINK_SQL),
-    "frontmatter_parse": (frontmatter_parse, FRONT_SQL),
-    "search_encoder": (search_encoder, r"""SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(list_slice(t, 1, 20), ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '([\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{20000}-\x{2A6DF}]|[^ \t\r\n\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{20000}-\x{2A6DF}]+)') AS t FROM documents)"""),
-    "cleaned_chars": (cleaned_chars, rf"SELECT lang, count(*) AS n, sum(length(regexp_replace({CLEAN}, '\s', '', 'g')))::BIGINT AS letters FROM documents GROUP BY lang"),
+    "search_encoder": (search_encoder, r"""SELECT doc_id, len(t)::BIGINT AS n_tokens, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, regexp_extract_all(lower(text), '([\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{20000}-\x{2A6DF}]|[^ \t\r\n\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{20000}-\x{2A6DF}]+)') AS t FROM documents)"""),
+    "cleaned_chars": (cleaned_chars, rf"SELECT doc_id, md5(regexp_replace({CLEAN}, '\s', '', 'g')) AS digest FROM documents"),
     "label_index": (label_index, LABEL_SQL),
     "small_content_index": (small_content_index, "SELECT source || '/' || doc_id AS slug, source AS title, lang AS tags, array_to_string(list_transform(range(1, 21), lambda i: i + doc_id), ',') AS links, substr(text, 1, 80) AS content FROM documents"),
     "source_lines": (source_lines, SOURCE_SQL),
