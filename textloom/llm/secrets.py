@@ -6,7 +6,7 @@ of two first-order character models: random strings against ordinary identifiers
 Runs above ``LEAST_LLR`` are spans of kind "random".
 
 Both models are trained on a bounded sample, the ``SAMPLE`` documents with the
-least hash of their id (a parameter): what the base rules match is labelled random
+least hash of id and text, repeated rows once (a parameter): what the base rules match is labelled random
 (a uniform prior over the alphabet stands for kinds of key that the sample lacks),
 all other words are labelled ordinary, each distinct string once.  The model is a
 table of at most 128 * 128 log-ratios.
@@ -44,6 +44,8 @@ SAMPLE = 4000
 LEAST_LLR = 9.0
 #: Pseudo-counts of each character after a context.
 PRIOR = 2.0
+#: Parts of a text, an even number, whose places are found together.
+GROUP = 64
 KINDS = ("assign", "access", "hex", "random")
 
 
@@ -57,13 +59,22 @@ def _spans(parts: Column, kind: int, ok) -> Column:
     """array<struct<start, kind, end>> of the matches that ``ok`` accepts."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     begin = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("found"))
+    whole = F.struct(F.lit(0).alias("at"), none.alias("found"))
 
     def step(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x)
         found = F.when(acc["hit"] & ok(x), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), end.alias("end"))))).otherwise(acc["found"])
         return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), found.alias("found"))
 
-    return F.when(F.size(parts) > 1, F.aggregate(parts, begin, step, lambda acc: acc["found"])).otherwise(none)
+    def moved(acc: Column, group: Column) -> Column:
+        """The spans so far and a group's, by its place in the text."""
+        here = F.transform(group["found"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + group["at"]).alias("at"), F.concat(acc["found"], here).alias("found"))
+
+    # an array that grows by one is copied each time, so parts are gone through in groups
+    last = F.floor((F.size(parts) - 1) / GROUP).cast("int")
+    groups = F.transform(F.sequence(F.lit(0), last), lambda g: F.aggregate(F.slice(parts, g * GROUP + 1, F.lit(GROUP)), begin, step))
+    return F.when(F.size(parts) > 1, F.aggregate(groups, whole, moved, lambda acc: acc["found"])).otherwise(none)
 
 
 def _masked(parts: Column, ok) -> Column:
@@ -101,20 +112,28 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _characters(w: Column) -> Column:
+    return F.filter(F.split(w, ""), lambda x: F.length(x) > 0)
+
+
+def _with_previous(items: Column, first: Column, pair) -> Column:
+    """``pair`` of each item of an array that isn't empty and the one before it; one pass over the array."""
+    return F.zip_with(F.concat(F.array(first), F.slice(items, 1, F.size(items) - 1)), items, pair)
+
+
 def _bigrams(words: DataFrame) -> DataFrame:
     """(pair, n): how many distinct strings' positions hold each pair of characters; strings start with "^"."""
-    w = F.concat(F.lit("^"), F.col("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length(w) - 1), lambda i: F.substring(w, i, 2))
+    pairs = _with_previous(_characters(F.col("w")), F.lit("^"), lambda a, b: F.concat(a, b))
     return words.where("length(w) > 0").distinct().select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> list[float]:
     """Log-ratio, random over ordinary, of every pair of ASCII codes: index 128 * first + second."""
-    order = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)))
+    order = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     last = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if last is None:
         return [0.0] * (128 * 128)
-    rows = base_spans(_prepared(docs.where(order <= F.lit(last)), id_col, text_col))
+    rows = base_spans(_prepared(docs.where(order <= F.lit(last)).select(id_col, text_col).distinct(), id_col, text_col))
     spans = F.concat("assign", "access", "hex")
     secret = rows.select(F.explode(spans).alias("s"), "t").select(F.regexp_extract(F.expr("substring(t, s.start + 1, s.end - s.start)"), r"([A-Za-z0-9+/_.=-]+)$", 1).alias("w"), F.col("s.kind").alias("kind"))
     secret = secret.select(F.when(F.col("kind") == 0, F.regexp_replace("w", r"^.*[:=](?=.{12})", "")).otherwise(F.col("w")).alias("w"))
@@ -144,9 +163,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table:
     ratios = F.split(F.lit(",".join(map(str, table))), ",").cast("array<double>")  # folded to a constant
 
     def odd(x: Column) -> Column:
-        w = F.concat(F.lit("^"), x)
-        pair = lambda i: F.element_at(ratios, F.ascii(F.substring(w, i, 1)) * 128 + F.ascii(F.substring(w, i + 1, 1)) + 1)
-        return F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(0.0), lambda acc, i: acc + pair(i)) >= F.lit(least)
+        codes = F.transform(_characters(x), F.ascii)
+        each = _with_previous(codes, F.lit(ord("^")), lambda a, b: F.element_at(ratios, a * 128 + b + 1))
+        return F.aggregate(each, F.lit(0.0), lambda acc, r: acc + r) >= F.lit(least)
 
     rows = base_spans(_prepared(docs, id_col, text_col))
     return rows.withColumn("p", _parts(F.col("masked"), CANDIDATE)).withColumn("random", _spans(F.col("p"), 3, odd)).drop("p", "masked")
