@@ -2,8 +2,8 @@
 
 Terms are lower-cased (A-Z) words.  The lexicon is the terms whose share of
 documents lies between ``LOW`` and ``HIGH``, a band of inverse document frequency.
-A fingerprint hashes, for each of ``SUBSETS`` random sub-lexicons, the text's
-sorted distinct terms in it.  A sub-lexicon keeps a term with probability
+A fingerprint hashes, for each of ``SUBSETS`` random sub-lexicons, the sequence of the
+text's distinct terms in it, sorted by their hashes, to 32 bits.  A sub-lexicon keeps a term with probability
 2**-level; the level follows the text's own number of terms in the band, so that
 a subset holds about one of them, and two neighbouring levels are written, so that
 texts of nearly the same size share one.  The likeness of two fingerprints is the
@@ -120,24 +120,30 @@ class Prints:
             self.whole = C.mix(C.seg_reduce(np.add, C.mix(hv[ids] ^ _SEEDS[0]), np.searchsorted(doc, np.arange(n + 1)), 0))
         hit = known[ids]
         doc, ids = doc[hit], ids[hit]
+        order = np.lexsort((hv[ids], doc))  # each text's terms, sorted
+        doc, ids = doc[order], ids[order]
         m = np.bincount(doc, minlength=n)
         self.level = np.where(m > 0, np.maximum(np.rint(np.log2(np.maximum(m, 1) / TERMS)), 0), -1).astype(np.int64)
-        self.hashes = np.zeros((n, 2, SUBSETS), np.uint16)
+        self.hashes = np.zeros((n, 2, SUBSETS), np.uint32)
         lev = self.level[doc]
         for k in range(SUBSETS):
             pick = C.mix(hv ^ _SEEDS[k])[ids]
-            value = (C.mix(hv ^ _SEEDS[SUBSETS + k]) >> np.uint64(24)).astype(np.float64)
+            value = C.mix(hv ^ _SEEDS[SUBSETS + k])
             for j in range(2):
                 sel = np.flatnonzero(pick >> (np.uint64(64) - np.maximum(lev + j, 1).astype(np.uint64)) == 0)
                 if j == 0:  # level 0 keeps all terms
                     sel = np.union1d(sel, np.flatnonzero(lev == 0))
-                total = np.bincount(doc[sel], value[ids[sel]], n)
-                full = np.bincount(doc[sel], minlength=n) > 0
-                h = (C.mix(total.astype(np.uint64) + np.uint64(k)) & np.uint64(0xFFFF)).astype(np.uint16)
-                self.hashes[:, j, k] = np.where(full, np.maximum(h, 1), 0)
+                if not len(sel):
+                    continue
+                d = doc[sel]
+                first = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+                place = np.arange(len(d)) - np.repeat(first, np.diff(np.append(first, len(d))))
+                with np.errstate(over="ignore"):
+                    h = C.mix(np.add.reduceat(value[ids[sel]] * C._powers(int(place.max()) + 1)[place], first))
+                self.hashes[d[first], j, k] = np.maximum(h >> np.uint64(32), 1).astype(np.uint32)
 
     def strings(self) -> list[str]:
-        return [f"{lv}:{row.astype('>u2').tobytes().hex()}" if lv >= 0 else f"w:{w:016x}" for lv, row, w in zip(self.level.tolist(), self.hashes, self.whole.tolist(), strict=True)]
+        return [f"{lv}:{row.astype('>u4').tobytes().hex()}" if lv >= 0 else f"w:{w:016x}" for lv, row, w in zip(self.level.tolist(), self.hashes, self.whole.tolist(), strict=True)]
 
 
 def likeness(la: np.ndarray, ha: np.ndarray, wa: np.ndarray, lb: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> np.ndarray:
