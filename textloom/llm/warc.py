@@ -46,6 +46,8 @@ from textloom.llm import common as C
 
 MIN_REVISIT = 1000
 BLOCK_LINES = 256
+#: Most repeated payloads that are broadcast, a digest and a URL each.
+MAX_GROUPS = 200_000
 #: Decompressed blocks, and open files, that a reader keeps.
 KEPT_BLOCKS, KEPT_FILES = 64, 32
 DATE = "2020-01-01T00:00:00Z"
@@ -170,7 +172,8 @@ def _planned(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     # one row per repeated payload; only digests are shuffled
     groups = rows.where(F.col("size") >= MIN_REVISIT).groupBy("digest", "size").agg(F.max(F.struct("page_id", "url")).alias("last"), F.count("*").alias("n")).where("n > 1 and last.page_id is not null")
     groups = groups.select("digest", "size", F.col("last.page_id").alias("refers"), F.col("last.url").alias("refers_url"))
-    rows = rows.join(groups, ["digest", "size"], "left")
+    # few repeats go to the pages, and no html moves; with many, larger partitions of the join are split by adaptive execution
+    rows = rows.join(C.few(C.checkpoint(groups), MAX_GROUPS), ["digest", "size"], "left")
     mine = F.col("page_id") == F.col("refers")
     return rows.select("page_id", "url", "html", "digest", F.when(~F.coalesce(mine, F.lit(False)), F.col("refers")).alias("refers"), F.when(~F.coalesce(mine, F.lit(False)), F.col("refers_url")).alias("refers_url"))
 
