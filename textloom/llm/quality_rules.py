@@ -1,7 +1,8 @@
 """Operator 1: quality rules with suffix-array repetition.
 
-Every text is sorted as a suffix array over its words.  Neighbouring suffixes
-give longest common prefixes; the deepest LCP interval around a suffix is the
+Every text is sorted as a suffix array over its words; of words over ``LONG`` bytes, as
+unspaced scripts have them, over their code points, ``CHARS`` of which count as a word.
+Neighbouring suffixes give longest common prefixes; the deepest LCP interval around a suffix is the
 longest substring that starts there and occurs again.  Spans of those of at
 least ``min_repeat`` words are united; a text fails if the united spans hold more
 than ``max_covered`` of its word characters, or its longest repeat has more than
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from textloom.llm import common as C
 
+#: Bytes of the longest word that is one symbol, and code points that count as a word in longer ones.
+LONG, CHARS = 64, 6
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -119,17 +122,45 @@ def measure(data: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.nda
     rep = longest_repeats(w.ids, w.offsets)
     at = np.flatnonzero(rep >= rules.window)
     n_repeat = C.seg_sum(_covered(at, np.full(len(at), rules.window), n), w.offsets)
-    at = np.flatnonzero(rep >= rules.min_repeat)
-    cover = _covered(at, rep[at], n)
     chars = C.seg_sum(heads, np.append(w.starts, len(data))) if n else np.zeros(0, np.int64)
-    covered = C.seg_sum(np.where(cover, chars, 0), w.offsets)
-    longest = C.seg_reduce(np.maximum, rep, w.offsets, 0)
+    offsets, size = w.offsets, np.full(n, CHARS)
+    if n and (w.ends - w.starts).max() > LONG:
+        rep, offsets, chars, size = _split_long(w, data, chars)
+    # words that a span holds, times CHARS
+    upto = np.append(0, np.cumsum(size))
+    places = np.arange(len(rep))
+    words = upto[places + rep] - upto[places]
+    at = np.flatnonzero(words >= CHARS * rules.min_repeat)
+    covered = C.seg_sum(np.where(_covered(at, rep[at], len(rep)), chars, 0), offsets)
+    longest = C.seg_reduce(np.maximum, words, offsets, 0) // CHARS
     return {
         "n_words": w.counts, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": dup_lines(data, off, w.starts), "n_repeat_words": n_repeat,
         "repeat_fraction": covered / np.maximum(word_chars, 1), "longest_repeat": np.where(longest >= rules.min_repeat, longest, 0),
     }
 
 
+def _split_long(w: C.Words, data: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Longest repeats, text offsets, code points and size of the symbols, with long words as their code points."""
+    long = w.ends - w.starts > LONG
+    n = np.where(long, chars, 1)
+    first = np.cumsum(n) - n  # of each word
+    ids = np.zeros(int(n.sum()), np.int64)
+    ids[first[~long]] = w.ids[~long]
+    begin, lens = w.starts[long], (w.ends - w.starts)[long]
+    at = C.ragged(begin, lens)
+    head = C.IS_HEAD[data[at]]
+    point = np.maximum(np.cumsum(head) - 1, 0)
+    value = np.zeros(int(head.sum()), np.int64)
+    for k in range(4):  # the bytes of a code point, one after the other
+        k_th = np.arange(len(at)) - np.flatnonzero(head)[point] == k
+        value[point[k_th]] = value[point[k_th]] << 8 | data[at[k_th]]
+    _, value = np.unique(value, return_inverse=True)
+    ids[C.ragged(first[long], n[long])] = value + len(w.vocab)
+    offsets = np.append(0, np.cumsum(n))[w.offsets]
+    size = np.repeat(np.where(long, 1, CHARS), n)
+    return longest_repeats(ids, offsets), offsets, np.where(size == 1, 1, np.repeat(chars, n)), size
+
+
 def dup_lines(data: np.ndarray, off: np.ndarray, word_starts: np.ndarray) -> np.ndarray:
     """Lines with a word that equal an earlier line of their text."""
     n_docs = len(off) - 1
