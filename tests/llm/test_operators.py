@@ -94,6 +94,38 @@ def test_long_repeat_is_rejected(spark):
     assert got == {1: (True, 0), 2: (False, 150)}
 
 
+def test_repeats_by_brute_force_and_in_unspaced_text(spark, docs, texts):
+    """Covered fraction and verdict from every pair of places; one long word is repetitive too."""
+
+    def figures(t, rules):
+        w = WORD.findall(t or "")
+        cover, longest = set(), 0
+        for i in range(len(w)):
+            best = 0
+            for j in range(len(w)):
+                k = 0
+                while j != i and max(i, j) + k < len(w) and w[i + k] == w[j + k]:
+                    k += 1
+                best = max(best, k)
+            if best >= rules.min_repeat:
+                cover |= set(range(i, i + best))
+                longest = max(longest, best)
+        return sum(len(w[i]) for i in cover) / max(sum(map(len, w)), 1), longest
+
+    rules = quality_rules.Rules()
+    short = {i: t for i, t in texts.items() if t and len(t) < 1500 and max(map(len, WORD.findall(t)), default=0) < 60}
+    for r in quality_rules.judge(docs.where(F.col("doc_id").isin(list(short)[:60]))).collect():
+        fraction, longest = figures(short[r["doc_id"]], rules)
+        assert abs(r["repeat_fraction"] - fraction) < 1e-12 and r["longest_repeat"] == longest
+        assert r["kept"] == (not r["base_failed"] and fraction <= rules.max_covered and longest <= rules.max_longest)
+    rng = np.random.default_rng(4)
+    plain = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 8000, 400))
+    unit = "".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 8000, 60))
+    rows = [(1, plain), (2, plain + unit + plain[:7] + unit), (3, "abcdefghij" * 500), (4, plain + " " + unit[:29] + " z " + plain)]
+    got = {r["doc_id"]: (round(r["repeat_fraction"], 3), r["longest_repeat"]) for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0.0, 0), 2: (round(120 / 527, 3), 10), 3: (1.0, 831), 4: (round(800 / 830, 3), 66)}
+
+
 # -- 2 ---------------------------------------------------------------------
 def check_packing(rows, want):
     """want: doc_id -> list of id lists."""
@@ -166,6 +198,26 @@ def test_imatch(docs, texts, odd, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_imatch_by_brute_force():
+    """Every hash is that of the sorted terms of the text's band in its sub-lexicon."""
+    rng = np.random.default_rng(6)
+    words = [f"t{i}" for i in range(200)]
+    cases = [" ".join(rng.choice(words, n)) for n in (0, 1, 3, 40, 150)] + ["other words only"]
+    of = {w: int(C.hash_binary(pa.array([w.encode()], pa.binary()))[0]) for w in words}
+    p = imatch.Prints(*C.text_bytes(pa.array(cases)), np.sort(np.array([of[w] for w in words], np.uint64)))
+    mix = lambda x: int(C.mix(np.array([x], np.uint64))[0])
+    powers = C._powers(256)
+    for d, t in enumerate(cases):
+        terms = sorted({of[w] for w in t.split() if w in of})
+        level = max(round(math.log2(len(terms) / imatch.TERMS)), 0) if terms else -1
+        assert p.level[d] == level
+        for k in range(imatch.SUBSETS):
+            for j in range(2):
+                own = [x for x in terms if level + j == 0 or mix(x ^ int(imatch._SEEDS[k])) >> (64 - level - j) == 0]
+                total = sum(mix(x ^ int(imatch._SEEDS[imatch.SUBSETS + k])) * int(powers[i]) for i, x in enumerate(own)) % 2**64
+                assert p.hashes[d, j, k] == (max(mix(total) >> 32, 1) if own else 0)
+
+
 # -- 4 ---------------------------------------------------------------------
 def test_warc(spark, none):
     big = "é" * 600
@@ -321,7 +373,62 @@ def test_redaction(spark, docs):
     assert got == [(1, "a [SECRET] b", 12, "k"), (2, "clean", 5, "k"), (3, None, None, "k")]
 
 
+def test_random_spans_by_brute_force(spark, docs):
+    """The ratio of every candidate, and one run of a megabyte in little time."""
+    import time
+
+    table = secrets.train(docs)
+    rng = np.random.default_rng(3)
+    letters = list(secrets.ALPHABET)
+    rows = [(i, " ".join("".join(rng.choice(letters, rng.integers(10, 40))) for _ in range(6)) + " internationalisation_of_everything é " + "x" * 20) for i in range(40)]
+    rows += [(100, "ab" * 500_000), (101, " ".join(f"{x:032x}" for x in range(20_000)))]
+    began = time.monotonic()
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), table=table).select("doc_id", secrets._joined(F.concat(*secrets.KINDS)).alias("spans")).collect()}
+    assert time.monotonic() - began < 120
+    for i, t in rows[:40]:
+        base = base_spans(t)
+        masked = list(t)
+        for a, _, b, _ in base:
+            masked[a:b] = "\x03" * (b - a)
+        want = [f"random:{m.start()}:{m.end()}" for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", "".join(masked)) if sum(table[128 * ord(a) + ord(b)] for a, b in zip("^" + m[0], m[0], strict=False)) >= secrets.LEAST_LLR]
+        assert [x for x in got[i].split(",") if x.startswith("random:")] == want
+    assert got[101].count("hex:") == 20_000 and got[101].endswith(f"hex:{19_999 * 33}:{19_999 * 33 + 32}")
+
+
 # -- 8 ---------------------------------------------------------------------
+def test_log_weights_by_brute_force(spark, docs, texts):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    h = lambda w: int(C.hash_binary(pa.array([w.encode()], pa.binary()))[0])
+    known, grams = {}, {}
+    for i, t in texts.items():
+        w = [known.setdefault(x, h(x)) if x not in known else known[x] for x in WORD.findall(low(t or ""))]
+        pairs = [int(C.mix(np.array([(a * 0x9E3779B97F4A7C15 + b) % 2**64], np.uint64))[0]) for a, b in zip(w, w[1:], strict=False)] if len(w) < 300 else None
+        grams[i] = (w, pairs)
+    small = {i for i, (_, p) in grams.items() if p is not None}
+    df = docs.where(F.col("doc_id").isin(list(small)))
+    raw, target = collections.Counter(), collections.Counter()
+    for i in small:
+        at = [x % importance.BUCKETS for x in (*grams[i][0], *grams[i][1])]
+        raw.update(at)
+        if i in good:
+            target.update(at)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {b: math.log((target[b] + importance.PRIOR) / (n * share + importance.PRIOR)) for b, n in raw.items()}
+    for r in importance.classified(df, labels).collect():
+        i = r["doc_id"]
+        assert abs(r["log_weight"] - sum(ratio[x % importance.BUCKETS] for x in (*grams[i][0], *grams[i][1]))) < 1e-6
+
+
+def test_importance_ties_and_null_labels(spark):
+    df = spark.createDataFrame([(i, "same words here", "x") for i in (1, 1, 2, None)], "doc_id long, text string, good string")
+    labels = spark.createDataFrame([(1, 1), (1, None), (2, 0), (None, 1)], "doc_id long, quality int")
+    rows = importance.classified(df, labels, rate=0.5).collect()
+    kept = [r["perturbed"] for r in rows if r["kept"]]
+    assert len(rows) == 4 and len(kept) >= 2 and all(r["kept"] == (r["perturbed"] >= min(kept)) for r in rows)
+    assert importance.kept(df, labels, rate=1.0).columns == df.columns
+
+
 def test_importance(spark, docs, odd, none):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     rows = importance.classified(docs, labels).collect()
