@@ -31,6 +31,8 @@ IS_HEAD = (np.arange(256) & 0xC0) != 0x80
 BATCH_BYTES = 4 << 20
 #: Most rows of a table that is broadcast; rows are a few numbers each.
 MAX_BROADCAST = 1_000_000
+#: Seconds after which the driver's JVM knows of the objects that its Python has dropped: the bridge passes them on each second.
+LET_GO = 1.2
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE_KEY = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,10 +92,10 @@ def free(spark: SparkSession) -> None:
     Spark deletes them when the driver collects the plans that made them, which may be
     long after the phase; a large job would hold all its phases' files until then.
     """
-    for _ in range(2):  # first the driver's Python lets go of plans, then its JVM of their shuffles
+    for _ in range(2):  # some plans are let go by what others leave behind
         gc.collect()
+        time.sleep(LET_GO)
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
