@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -610,6 +611,32 @@ def test_licenses_without_keywords_wrapped_and_by_tag(spark, docs):
     assert got == {i: name for i, (_, name) in rows.items()}
 
 
+def test_licenses_of_whole_licence_texts(spark, docs):
+    """Whole licences get their own name, or none; never a relative's."""
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    folder = Path("/usr/share/common-licenses")
+    files = [n for n in names if (folder / n).is_file()]
+    rows = [(-1 - i, (folder / n).read_text("utf-8", "replace")) for i, n in enumerate(files)]
+    expected = {-1 - i: names[n] for i, n in enumerate(files)}
+    header = "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU {0}General Public License as published by\n * the Free Software Foundation; either version {1} of the License, or\n * (at your option) any later version. */\nint x;\n"
+    for i, (kind, version, name) in enumerate([("", "2", "GPL-2.0"), ("", "3", "GPL-3.0"), ("Lesser ", "2.1", "LGPL-2.1"), ("Lesser ", "3", "LGPL-3.0"), ("Affero ", "3", "AGPL-3.0")]):
+        rows.append((-101 - i, header.format(kind, version)))
+        expected[-101 - i] = name
+    for i, (name, text) in enumerate(licenses.LONG):
+        rows.append((-201 - i, text.replace(". ", ".\n")))
+        expected[-201 - i] = name
+    rows.append((-300, "Copyright 2020 Somebody. All rights reserved.\n\n" + "plain words follow here\n" * 5))
+    expected[-300] = "Proprietary"
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(made).withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/x.txt")))
+    assert {r["doc_id"]: r["license"] for r in licenses.scan(both).where("doc_id < 0").collect()} == expected
+    own = "Terms of the Lantern Society: members may lend, mend and repaint lanterns; borrowed lanterns return before winter; painters sign every lantern they repaint."
+    odd = spark.createDataFrame([(1, own, "a/x", 9), (1, own, "a/x", 9), (2, None, None, 9), (3, "", "a/y", 9), (4, "word " * 200_000, "a/z", 9)], "doc_id long, text string, path string, license int")
+    got = licenses.scan(odd, more=[("Lantern", own)]).collect()
+    assert sorted((r["doc_id"], r["license"], r["origin"]) for r in got if r["doc_id"] == 1) == [(1, "Lantern", "own")] * 2
+    assert {(r["doc_id"], r["license"], r["origin"]) for r in got if r["doc_id"] > 1} == {(2, None, "none"), (3, "Lantern", "inherited"), (4, "Lantern", "inherited")}
+
+
 # -- pipeline --------------------------------------------------------------
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as p
