@@ -22,7 +22,8 @@ licence texts (``LONG`` and the parameter ``more``) are compared in steps 2 and
 the templates' terms are counted over all texts; other terms get the frequency of a
 term seen once.
 
-A licence file (by its name, or whose first line or block with a word is a notice) gives
+A licence file (by its name, or by its title, by its first line or block with a word
+being a notice, or by its whole text being a whole licence) gives
 its licence to its directory.  Files without their own take that of the nearest
 ancestor directory: the distinct directories are joined with their ancestors'
 licences by path, and files with their directory.
@@ -179,7 +180,7 @@ def _find(values: pa.Array, vocab: pa.Array) -> np.ndarray:
 
 
 def own_licenses(docs: DataFrame, id_col: str, text_col: str, path_col: str, more: Sequence[tuple[str, str]] = ()) -> DataFrame:
-    """doc_id, path, license, score, first_line (it opens with a title, or its first line or block with a word is a notice)."""
+    """doc_id, path, license, score, first_line (it is a licence file by its text)."""
     of_all = Templates(more)
     idf = term_shares(docs, text_col, of_all.vocab)
     matrix = of_all.matrix(idf)
@@ -234,8 +235,8 @@ def own_licenses(docs: DataFrame, id_col: str, text_col: str, path_col: str, mor
                 cosines.append(cos)
                 which.append(t)
                 ranks.append(np.where(of_all.weak[t], 0, rank))
-                if opens:
-                    first[doc[start][((start == w.offsets[doc[start]]) | (rank == 3)) & (cos > 0)]] = True
+                licence = of_all.title[t] | (of_all.kind[t] == 3) & (rank == 2)
+                first[doc[start][(licence | (start == w.offsets[doc[start]]) & opens) & (cos > 0)]] = True
                 return mostly[unit]
 
             if len(doc):
