@@ -7,10 +7,11 @@ Arrow batch at once: no per-document Python loop touches the text.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -124,6 +125,24 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = BATCH_
             i = j
 
 
+def trim() -> None:
+    """Give memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if give is not None:
+        give(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which its worker gives its memory back; Spark keeps idle workers while the executor goes on."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and int64 offsets (n + 1, from 0); null is empty."""
     if isinstance(col, pa.ChunkedArray):

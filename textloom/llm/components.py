@@ -60,7 +60,7 @@ def _contracted(e: DataFrame, parts: int) -> DataFrame:
             node, low = node[node != low], low[node != low]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], names=["u", "v"])
 
-    return C.checkpoint(e.repartition(parts).mapInArrow(run, "u long, v long"))
+    return C.checkpoint(e.repartition(parts).mapInArrow(C.trimmed(run), "u long, v long"))
 
 
 def components(edges: DataFrame, max_rounds: int = 50, part: int = PART) -> DataFrame:

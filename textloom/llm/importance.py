@@ -76,7 +76,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(_sample(labels, max_labels), "doc_id", "left").select("text", "good")
-    got = rows.mapInArrow(run, "at long, raw long, target long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
+    got = rows.mapInArrow(C.trimmed(run), "at long, raw long, target long").groupBy("at").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     at = got["at"].to_numpy()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[at[at >= 0]], target[at[at >= 0]] = got["raw"].to_numpy()[at >= 0], got["target"].to_numpy()[at >= 0]
@@ -98,7 +98,7 @@ def weights(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(doc, table[at], b.num_rows), pa.float64())], names=["doc_id", "log_weight"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, log_weight double").withColumn("perturbed", F.col("log_weight") + _noise("doc_id", seed))
+    return rows.mapInArrow(C.trimmed(run), "doc_id long, log_weight double").withColumn("perturbed", F.col("log_weight") + _noise("doc_id", seed))
 
 
 def kth_largest(scores: DataFrame, col: str, k: int) -> float:
@@ -178,7 +178,7 @@ def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.bincount(doc, table[at], b.num_rows), pa.float64())], names=[*b.schema.names, WEIGHT])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(WEIGHT, T.DoubleType())])
-    return docs.mapInArrow(run, schema).where(F.col(WEIGHT) + _noise(id_col, seed) >= F.lit(least)).drop(WEIGHT)
+    return docs.mapInArrow(C.trimmed(run), schema).where(F.col(WEIGHT) + _noise(id_col, seed) >= F.lit(least)).drop(WEIGHT)
 
 
 def op8_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

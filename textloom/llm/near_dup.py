@@ -186,7 +186,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, rule: Rule = Rule()) -
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(off)), pa.array(C.signed(one)), pa.array(C.signed(two)), raw], names=["doc_id", "n", "h1", "h2", "reg"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, reg binary")
+    return rows.mapInArrow(C.trimmed(run), "doc_id long, n long, h1 long, h2 long, reg binary")
 
 
 def _regs(col: pa.Array) -> np.ndarray:
@@ -200,7 +200,7 @@ def _bands(classes: DataFrame, rule: Rule) -> DataFrame:
                 h = band_hashes(_regs(b.column(1)), rule)
                 yield pa.RecordBatch.from_arrays([pa.array(C.signed(h.ravel())), pa.array(np.repeat(b.column(0).to_numpy(), rule.bands))], names=["bucket", "node"])
 
-    return classes.select("node", "reg").mapInArrow(run, "bucket long, node long")
+    return classes.select("node", "reg").mapInArrow(C.trimmed(run), "bucket long, node long")
 
 
 def _members(bands: DataFrame) -> DataFrame:
@@ -237,7 +237,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, nodes: DataFrame, id_col: s
             seen = np.concatenate((seen, one[first]))
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(one[first])), pa.array(C.signed(two[first])), b.column(1).take(pa.array(first))], names=["h1", "h2", "text"])
 
-    found = rows.mapInArrow(run, "h1 long, h2 long, text string").join(keys, ["h1", "h2"]).select("node", "text")
+    found = rows.mapInArrow(C.trimmed(run), "h1 long, h2 long, text string").join(keys, ["h1", "h2"]).select("node", "text")
     return own.select("node", "n", "reg"), C.checkpoint(found)
 
 
@@ -286,7 +286,7 @@ def _test(pairs: DataFrame, own: DataFrame, texts: DataFrame, rule: Rule) -> Dat
             uni = size[at[: len(i)]] + size[at[len(i) :]] - both
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], pivot[i])), pa.array(np.maximum(node[i], pivot[i])), pa.array(both), pa.array(uni)], names=["a", "b", "inter", "uni"])
 
-    return C.checkpoint(rows.mapInArrow(run, "a long, b long, inter long, uni long"))
+    return C.checkpoint(rows.mapInArrow(C.trimmed(run), "a long, b long, inter long, uni long"))
 
 
 def _links(tested: DataFrame, rule: Rule) -> DataFrame:
@@ -359,7 +359,7 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, sketch: Da
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    got = own.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2**RARITY_BITS rows
+    got = own.mapInArrow(C.trimmed(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most 2**RARITY_BITS rows
     table = np.zeros(1 << RARITY_BITS, np.int64)
     table[got["at"].to_numpy()] = got["n"].to_numpy()
     shared = own.sparkSession.sparkContext.broadcast(table)
@@ -376,7 +376,7 @@ def _undecided(bands: DataFrame, label: DataFrame, tested: DataFrame, sketch: Da
             doc = doc[o][at]
             yield pa.RecordBatch.from_arrays([pa.array(C.signed(s[o][at])), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(n[doc]), pa.array(C.ragged(np.zeros(len(n), np.int64), length))], names=["shingle", "node", "component", "n", "at"])
 
-    pre = own.mapInArrow(prefixes, "shingle long, node long, component long, n long, at long")
+    pre = own.mapInArrow(C.trimmed(prefixes), "shingle long, node long, component long, n long, at long")
     # shingles of one document or component only can't decide anything
     meet = pre.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
     one = C.checkpoint(pre.join(meet, "shingle"))

@@ -189,7 +189,7 @@ def tokenized(docs: DataFrame, id_col: str, text_col: str, path: str, end: int)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(curve_keys(ids, off, signs)), pa.array(np.diff(off)), data], names=["doc_id", "key", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, key long, n long, ids binary")
+    return rows.mapInArrow(C.trimmed(run), "doc_id long, key long, n long, ids binary")
 
 
 def lay_out(doc_ids: list, starts: np.ndarray, totals: np.ndarray, ids: np.ndarray, off: np.ndarray, cuts: np.ndarray) -> dict[str, list]:
@@ -253,7 +253,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             digits = [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
             yield emit(lay_out(held[0], held[1], held[2], held[4], np.append(0, np.cumsum(held[3])), np.append(0, np.cumsum(digits))))
 
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(C.trimmed(run), SCHEMA)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,7 +198,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             cols = [b.column(0), *(pa.array(m[k], pa.int64()) for k in names), pa.array(failed), pa.array(kept), pa.array(m["repeat_fraction"], pa.float64()), pa.array(m["longest_repeat"], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *names, "base_failed", "kept", "repeat_fraction", "longest_repeat"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(C.trimmed(run), SCHEMA)
 
 
 def keep(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -209,7 +209,7 @@ def keep(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> Dat
         for b in C.slices(batches, text_col):
             yield b.filter(pa.array(verdict(measure(*C.text_bytes(b.column(at)), rules), rules)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(C.trimmed(run), docs.schema)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
