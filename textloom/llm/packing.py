@@ -37,7 +37,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 #: Most words kept between slices.
 CACHE = 600_000
 #: Text bytes of a slice: the larger, the fewer distinct words in all.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: ASCII marks that the tokenizer never joins to a letter or digit before them.
 MARKS = b".,!?$%&*#|;:()"
 
@@ -57,7 +57,8 @@ class WordCoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.parts: dict[bytes, list[int]] = {}
         self.keys = np.zeros(0, np.uint64)
-        self.starts = self.lens = self.flat = np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.lens = self.flat = np.zeros(0, np.int32)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, by its parts."""
@@ -90,14 +91,14 @@ class WordCoder:
             keep = np.unique(at[hit])
             self.flat = self.flat[C.ragged(self.starts[keep], self.lens[keep])]
             self.keys, self.lens = self.keys[keep], self.lens[keep]
-            self.starts = np.cumsum(self.lens) - self.lens
+            self.starts = np.cumsum(self.lens, dtype=np.int64) - self.lens
         ids = self.encode_words(vocab.filter(pa.array(~hit)).to_pylist())
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, int(lens.sum()))
+        lens = np.fromiter(map(len, ids), np.int32, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int32, int(lens.sum()))
         keys = np.concatenate((self.keys, h[~hit]))
         order = np.argsort(keys)
         self.keys = keys[order]
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))[order]
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens, dtype=np.int64) - lens))[order]
         self.lens = np.concatenate((self.lens, lens))[order]
         self.flat = np.concatenate((self.flat, flat))
         at = np.searchsorted(self.keys, h)
@@ -106,12 +107,15 @@ class WordCoder:
     def encode(self, data: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end``, and the texts' offsets."""
         w = C.Words(data, off)
-        starts, lens = self.lookup(w.vocab)
+        words, bounds, vocab = w.ids, w.offsets, w.vocab
+        del w  # its byte masks and spans are larger than what follows
+        starts, lens = self.lookup(vocab)
         # the end token is one more word of each text
-        n_ids = np.insert(lens[w.ids], w.offsets[1:], 1)
-        starts = np.insert(starts[w.ids], w.offsets[1:], 0)
-        ends = np.append(0, np.cumsum(n_ids))[w.offsets + np.arange(len(off))]
-        ids = self.flat[C.ragged(starts, n_ids)] if len(self.flat) else np.zeros(int(n_ids.sum()), np.int64)
+        n_ids = np.insert(lens[words], bounds[1:], 1)
+        starts = np.insert(starts[words], bounds[1:], 0)
+        del words
+        ends = np.append(0, np.cumsum(n_ids, dtype=np.int64))[bounds + np.arange(len(off))]
+        ids = self.flat[C.ragged(starts, n_ids)] if len(self.flat) else np.zeros(int(n_ids.sum()), np.int32)
         ids[ends[1:] - 1] = end
         return ids, ends
 
@@ -223,15 +227,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             cols = [pa.array(p["doc_id"], pa.int64()), *(pa.array(np.asarray(p[k], np.int64)) for k in ("start", "length", "ids_crc32", "doc_tokens")), pa.array(base + made + p["sequence"]), pa.array(np.asarray(p["offset"], np.int64))]
             return pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for b in C.slices(batches, "ids", 2 * C.BATCH_BYTES):
+        for b in C.slices(batches, "ids", C.BATCH_BYTES // 2):
             n = b.column(1).to_numpy(zero_copy_only=False)
             raw, byte_off = C.text_bytes(b.column(2))
             size = int(byte_off[-1] // n.sum())
-            got = np.ascontiguousarray(raw).view(f"<u{size}").astype(np.int64)
+            got = np.ascontiguousarray(raw).view(f"<u{size}")
             doc_ids = held[0] + b.column(0).to_pylist()
             starts = np.append(held[1], np.zeros(len(n), np.int64))
             totals, lens = np.append(held[2], n), np.append(held[3], n)
-            ids = np.append(held[4], got)
+            ids = np.append(held[4].astype(got.dtype), got)
             off = np.append(0, np.cumsum(lens))
             full = len(ids) // sequence * sequence
             if full:
@@ -246,7 +250,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                     used = full - off[first]
                     starts[0] += used
                     lens[0] -= used
-                ids = ids[full:]
+                ids = ids[full:].copy()
             held = (doc_ids, starts, totals, lens, ids)
         rest = len(held[4])
         if rest:
