@@ -186,6 +186,39 @@ def test_stream_follows_changes(spark, tmp_path):
     assert [r["path"] for r in incremental.tombstones(spark.read.parquet(str(log)), "path", "seq", "kind").collect()] == ["b"]
 
 
+def test_stream_rewrites_touched_parts_only(spark, tmp_path):
+    """Parts without a change stay, an emptied part goes, superseded ones are deleted, a batch run again changes nothing."""
+    log, state = tmp_path / "log", str(tmp_path / "state")
+    schema = "path string, seq int, kind string, body string"
+    told = []
+
+    def run(rows, cp="cp"):
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(log))
+        stream = spark.readStream.schema(schema).parquet(str(log))
+        incremental.follow(stream, state, "path", "seq", "kind", ["body"], str(tmp_path / cp), lambda c, n: told.append((n, c.count())), buckets=8).awaitTermination()
+        return {r["path"]: r["body"] for r in incremental.latest(spark, state).collect()}
+
+    parts = lambda: {(int(p.parent.name[2:]), int(p.name[7:])) for p in (tmp_path / "state/data").glob("v=*/bucket=*")}
+    body = {f"k{i}": str(i) for i in range(40)}
+    assert run([(k, 1, "add", v) for k, v in body.items()]) == body
+    first = parts()
+    assert run([("k3", 2, "change", None)]) == body | {"k3": None}
+    assert len(parts() - first) == 1
+    assert run([(k, 3, "delete", None) for k in body]) == {}
+    assert run([("new", 4, "add", "x")]) == {"new": "x"}
+    assert {v for v, _ in parts()} == {3} and [n for n, _ in told] == [0, 1, 2, 3]
+    assert run([]) == {"new": "x"}
+    assert incremental.latest(spark, str(tmp_path / "none")) is None
+    import shutil
+
+    shutil.rmtree(tmp_path / "state/manifest/v=3")  # as if the last batch had been lost before its manifest
+    assert incremental.latest(spark, state).count() == 0
+    (tmp_path / "cp/commits/3").unlink()
+    (tmp_path / "cp/commits/.3.crc").unlink(missing_ok=True)
+    assert run([]) == {"new": "x"}
+
+
 def test_rewrite_keeps_order(spark):
     notes = spark.createDataFrame([(1, "a [[x]] b [[y|Y]] c")], "k int, t string")
     targets = spark.createDataFrame([("x", "h/x", "X", 1)], "target string, href string, title string, priority int")
