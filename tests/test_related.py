@@ -52,11 +52,64 @@ def test_affinity_by_pairs(spark, monkeypatch, cap, group):
 def test_affinity_lists_few_works_of_a_tag(spark):
     """A tag on 3000 works makes rows by their number, not by its square."""
     rows = spark.range(3000).select(F.col("id").alias("w"), F.lit(1).alias("t"))
-    group = "few-works"
-    spark.sparkContext.setJobGroup(group, group)
-    assert related.affinity(rows, rows, "w", "w", "t", cap=None).count() == 3000 * 6
-    tracker, written = spark.sparkContext._jsc.sc().statusStore(), 0
-    for job in spark.sparkContext.statusTracker().getJobIdsForGroup(group):
-        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
-            written += tracker.lastStageAttempt(stage).shuffleWriteRecords()
-    assert 3000 <= written <= 3000 * 20
+    df = related.affinity(rows, rows, "w", "w", "t", cap=None)
+    assert 3000 <= shuffled(spark, "affinity", df) <= 3000 * 20
+    assert df.count() == 3000 * 6
+
+
+def brute_contrast(tags, opposed, atoms, n, cap):
+    works = {}
+    for w, t in tags:
+        works.setdefault(w, set()).add(t)
+    df = {t: sum(t in x for x in works.values()) for _, t in tags}
+    out = {}
+    for a, (w, mine) in atoms.items():
+        best = {}
+        for t, u in opposed:
+            if t not in mine or u not in df or df[u] > cap:
+                continue
+            for o, x in works.items():
+                if o != w and u in x and t not in x:
+                    entry = (-round(1 / math.log2(df[u] + 1), 9), o, t, u)
+                    best[o] = min(best.get(o, entry), entry)
+        if best:
+            out[a] = [e[1:] for e in sorted(best.values())[:n]]
+    return out
+
+
+@pytest.mark.parametrize("cap", [80, 12])
+def test_contrast_by_pairs(spark, cap):
+    rng = random.Random(5)
+    tags = {(w, rng.randrange(30)) for w in range(90) for _ in range(rng.randrange(1, 8))}
+    opposed = [(rng.randrange(30), rng.randrange(30)) for _ in range(40)]
+    opposed += opposed[:5]
+    mine = {1000 + i: (rng.randrange(90), {rng.randrange(33) for _ in range(4)}) for i in range(50)}
+    rows = spark.createDataFrame(sorted(tags), "w long, t long")
+    pairs = spark.createDataFrame(opposed, "t long, against long")
+
+    def got(df, atom):
+        out = {}
+        for r in df.orderBy(atom, "rank").collect():
+            out.setdefault(r[atom], []).append((r["other"], r["t"], r["against"]))
+        return out
+
+    atoms = spark.createDataFrame([(a, w, t) for a, (w, ts) in mine.items() for t in ts], "atom long, w long, t long")
+    assert got(related.contrast(atoms, rows, pairs, "atom", "w", "t", n=3, cap=cap), "atom") == brute_contrast(tags, opposed, mine, 3, cap)
+    own = {w: (w, {t for v, t in tags if v == w}) for w, _ in tags}
+    assert got(related.contrast(rows, rows, pairs, "w", "w", "t", n=3, cap=cap), "w") == brute_contrast(tags, opposed, own, 3, cap)
+
+
+def shuffled(spark, name, df):
+    """Rows that a query writes to shuffles."""
+    spark.sparkContext.setJobGroup(name, name)
+    df.write.format("noop").mode("overwrite").save()
+    store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    stages = {stage for job in tracker.getJobIdsForGroup(name) for stage in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(stage).shuffleWriteRecords() for stage in stages)
+
+
+def test_contrast_lists_few_works_of_a_pair(spark):
+    """70 works of a tag and 70 of its opposite make rows by their number, not its square."""
+    rows = spark.range(140).select(F.col("id").alias("w"), (F.col("id") % 2).alias("t"))
+    pairs = spark.createDataFrame([(0, 1)], "t long, against long")
+    assert shuffled(spark, "contrast", related.contrast(rows, rows, pairs, "w", "w", "t")) < 140 * 10
