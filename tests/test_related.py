@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import related
+from textloom.plans import records
 
 
 def brute_affinity(tags, atoms, n, cap):
@@ -113,3 +114,13 @@ def test_contrast_lists_few_works_of_a_pair(spark):
     rows = spark.range(140).select(F.col("id").alias("w"), (F.col("id") % 2).alias("t"))
     pairs = spark.createDataFrame([(0, 1)], "t long, against long")
     assert shuffled(spark, "contrast", related.contrast(rows, rows, pairs, "w", "w", "t")) < 140 * 10
+
+
+def test_shards_have_frequent_tags(spark, tmp_path):
+    """Orders that share only a part of over 80 orders are related; the SQL has no cap either."""
+    orders = spark.range(200).select(F.col("id").alias("l_orderkey"), F.lit(5).cast("long").alias("l_partkey"))
+    orders.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r["atom"]: (r["n"], r["others"]) for r in records.related_shards(spark, str(tmp_path)).collect()}
+    assert got == {i: (6, ",".join(str(j) for j in range(8) if j != i and j < 6 + (i < 6))) for i in range(200)}
+    assert "HAVING" not in records.SHARDS_SQL and "HAVING count(*) <= 80" in records.AFFINITY_SQL
+    assert records.affinity_topn(spark, str(tmp_path)).count() == 0
