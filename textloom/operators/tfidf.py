@@ -6,52 +6,57 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-
+from textloom.sources.readers import parts
 
 #: Keys of a posting list's block.
 BLOCK = 4096
 
 
-def term_frequencies(docs: DataFrame, key: str, words: Column, stop: list[str] = ()) -> DataFrame:
+def term_frequencies(docs: DataFrame, key: str, words: Column, stop: list[str] = (), shown: Column | None = None) -> DataFrame:
     """key, term, tf, first_pos: counts and first places of each text's words of three letters or more.
 
-    Texts are dealt by key before they are cut up, which spreads a file of one block over
-    the tasks and lets the counts go without a shuffle of their own.
+    Texts are dealt by key before they are cut up, into parts whose number follows the texts'
+    size, so the counts go without a shuffle of their own and a task's stay small. shown: an
+    array of words; then a column ``shown`` tells the terms that are in it.
     """
-    rows = docs.repartition(key).select(key, F.posexplode(words).alias("pos", "term")).where((F.length("term") >= T.MIN_LENGTH) & ~F.col("term").isin(*stop))
-    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"))
+    head = [] if shown is None else [shown.alias("head")]
+    rows = docs.repartition(parts(docs), key).select(key, *head, F.posexplode(words).alias("pos", "term")).where((F.length("term") >= T.MIN_LENGTH) & ~F.col("term").isin(*stop))
+    more = [] if shown is None else [F.bool_or(F.coalesce(F.array_contains("head", F.col("term")), F.lit(False))).alias("shown")]
+    return rows.groupBy(key, "term").agg(F.count("*").alias("tf"), F.min("pos").cast("long").alias("first_pos"), *more)
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def scored(docs: DataFrame, key: str, words: Column, stop: list[str] = ()) -> DataFrame:
-    """key, term, tf, first_pos, score = tf * ln(N / df); terms of every text are left out."""
-    tf = term_frequencies(docs, key, words, stop)
+def scored(docs: DataFrame, key: str, words: Column, stop: list[str] = (), shown: Column | None = None) -> DataFrame:
+    """key, term, tf, first_pos, df, score = tf * ln(N / df); terms of every text are left out.
+
+    Rows go to their term once and are counted there.
+    """
+    tf = term_frequencies(docs, key, words, stop, shown).repartition(parts(docs), "term")
     total = docs.agg(F.count("*").alias("total"))  # one row
-    out = tf.join(document_frequencies(tf), "term").join(F.broadcast(total))
+    out = tf.withColumn("df", F.count("*").over(Window.partitionBy("term"))).join(F.broadcast(total))
     return out.withColumn("score", F.col("tf") * F.log(F.col("total") / F.col("df"))).where("df < total").drop("total")
 
 
-def top_terms(ranked: DataFrame, key: str, n: int) -> DataFrame:
-    """The n best terms of each text; ties go to the first in the text."""
+def top_terms(ranked: DataFrame, key: str, n: int, k: int) -> DataFrame:
+    """The n best terms of each text, in k parts; ties go to the first in the text."""
     best = Window.partitionBy(key).orderBy(F.round("score", 9).desc(), "first_pos")
-    return ranked.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
+    return ranked.repartition(k, key).withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= n)
 
 
 def keywords(docs: DataFrame, key: str, text: str, n: int = 40) -> DataFrame:
-    return top_terms(scored(docs, key, T.words(F.col(text)), T.STOPWORDS), key, n)
+    return top_terms(scored(docs, key, T.words(F.col(text)), T.STOPWORDS), key, n, parts(docs))
 
 
 def compressed_index(docs: DataFrame, key: str, text: str, n: int = 50, chars: int = 160) -> DataFrame:
     """A snippet and the best terms that it doesn't hold, for each text."""
-    head = F.substring(text, 1, chars)
-    shown = docs.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(head), F.lit("([a-z][a-z']+)")))).alias("term"))
-    ranked = scored(docs, key, T.index_words(F.col(text)), T.INDEX_STOPWORDS).join(shown, [key, "term"], "left_anti")
-    terms = top_terms(ranked, key, n).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
-    out = docs.select(key, F.col(text).alias("__text")).join(terms, key, "left")
-    return out.select(key, T.snippet(F.coalesce("__text", F.lit("")), F.coalesce("terms", F.array().cast("array<string>")), chars).alias("content"))
+    k = parts(docs)
+    ranked = scored(docs, key, T.index_words(F.col(text)), T.INDEX_STOPWORDS, T.index_words(F.substring(text, 1, chars))).where("not shown")
+    terms = top_terms(ranked.select(key, "term", "score", "first_pos"), key, n, k).groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    out = docs.select(key, F.substring(F.coalesce(text, F.lit("")), 1, chars).alias("__head")).repartition(k, key).join(terms, key, "left")
+    return out.select(key, T.snippet(F.col("__head"), F.coalesce("terms", F.array().cast("array<string>")), chars).alias("content"))
 
 
 def postings(pairs: DataFrame, term: str, key: str, size: int = BLOCK) -> DataFrame:
