@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.operators import related
-from textloom.plans import records
+from textloom.plans import records, views
 
 
 def brute_affinity(tags, atoms, n, cap):
@@ -124,3 +124,29 @@ def test_shards_have_frequent_tags(spark, tmp_path):
     assert got == {i: (6, ",".join(str(j) for j in range(8) if j != i and j < 6 + (i < 6))) for i in range(200)}
     assert "HAVING" not in records.SHARDS_SQL and "HAVING count(*) <= 80" in records.AFFINITY_SQL
     assert records.affinity_topn(spark, str(tmp_path)).count() == 0
+
+
+def test_affinity_of_repeated_rows_and_null_works(spark):
+    """Works as atoms: repeated rows count once; a null work counts for its tags' frequency only."""
+    rng = random.Random(11)
+    tags = {(w, rng.randrange(30)) for w in range(60) for _ in range(rng.randrange(1, 7))}
+    own = {w: (w, {t for v, t in tags if v == w}) for w, _ in tags}
+    rows = spark.createDataFrame(sorted(tags) + sorted(tags)[:40] + [(None, t) for t in range(0, 30, 3)] + [(3, None)], "w long, t long")
+    df = related.affinity(rows, rows, "w", "w", "t", n=3)
+    got = {}
+    for r in df.orderBy("w", "rank").collect():
+        got.setdefault(r["w"], []).append((r["other"], round(r["s"], 6), r["shared"]))
+    nowhere = max(own) + 1  # a work like a null one, that comes last
+    want = brute_affinity(tags | {(nowhere, t) for t in range(0, 30, 3)}, own, 4, 80)
+    assert got == {a: [x for x in best if x[0] != nowhere][:3] for a, best in want.items()}
+
+
+def test_enriched_deals_tags_once(spark, tmp_path):
+    """The tags are dealt once by tag and once by order, and a part's list goes only to the orders that need it."""
+    rows = spark.range(1000).select(F.col("id").alias("l_orderkey"), F.explode(F.array(*[F.expr(f"id % {m} + {100 * m}") for m in (20, 23, 29, 31)])).alias("l_partkey"))
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = spark.range(1000).select(F.col("id").alias("o_orderkey"), F.lit("1-URGENT").alias("o_orderpriority"), F.lit(1).cast("long").alias("o_custkey"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    assert views.related_enriched(spark, str(tmp_path)).count() == 6000
+    tags = spark.read.parquet(str(tmp_path / "lineitem.parquet"))
+    assert shuffled(spark, "dealt", related.affinity(tags, tags, "l_orderkey", "l_orderkey", "l_partkey")) < 1000 * 40
