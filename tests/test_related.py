@@ -126,6 +126,14 @@ def test_shards_have_frequent_tags(spark, tmp_path):
     assert records.affinity_topn(spark, str(tmp_path)).count() == 0
 
 
+def written(spark, name):
+    """Rows that a job group has written to shuffles."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    stages = {stage for job in tracker.getJobIdsForGroup(name) for stage in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(stage).shuffleWriteRecords() for stage in stages)
+
+
 def test_affinity_of_repeated_rows_and_null_works(spark):
     """Works as atoms: repeated rows count once; a null work counts for its tags' frequency only."""
     rng = random.Random(11)
@@ -150,3 +158,12 @@ def test_enriched_deals_tags_once(spark, tmp_path):
     assert views.related_enriched(spark, str(tmp_path)).count() == 6000
     tags = spark.read.parquet(str(tmp_path / "lineitem.parquet"))
     assert shuffled(spark, "dealt", related.affinity(tags, tags, "l_orderkey", "l_orderkey", "l_partkey")) < 1000 * 40
+
+
+def test_shards_look_for_frequent_tags_first(spark, tmp_path):
+    """Without a part on over 80 orders, all parts aren't dealt to orders only to see that there is none."""
+    rows = spark.range(2000).select(F.col("id").alias("l_orderkey"), F.explode(F.array(*[F.expr(f"id % {m} + {100 * m}") for m in (50, 53, 59, 61)])).alias("l_partkey"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.sparkContext.setJobGroup("plan", "plan")
+    records.related_shards(spark, str(tmp_path))
+    assert written(spark, "plan") < 1000
